@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import chat, langid
+from . import bpe, chat, flac, langid, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,26 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode_digests(docs, _vocabulary("byte_bpe_50k.json")).withColumnRenamed("key", "doc_id")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, _vocabulary("word_bpe_49k.json"))).withColumnRenamed("key", "doc_id")
+
+
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digests(flac.media(_table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(_remainder(4) == 2, F.lit(False))
@@ -60,5 +80,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-QUERIES = {"op8_language_id": op8_language_id, "op10_chat_format": op10_chat_format}
+QUERIES = {"op2_bpe_chunks": op2_bpe_chunks, "op4_best_fit_packing": op4_best_fit_packing, "op6_flac_media": op6_flac_media, "op8_language_id": op8_language_id, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op10_chat_format": CHAT_SQL}
