@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import bpe, chat, flac, langid, packing
+from . import bpe, chat, flac, jaccard, langid, neardup, packing, quality, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,20 +24,46 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score (probability of good quality), weak_score (the labellers' posterior; null without words), kept."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs)
+    out = docs.select("doc_id", quality.judge(model, docs).alias("q"))
+    return out.select("doc_id", F.col("q.score").alias("score"), F.col("q.weak").alias("weak_score"), (F.col("q.score") >= 0.5).alias("kept"))
+
+
 def op2_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_digests(docs, _vocabulary("byte_bpe_50k.json")).withColumnRenamed("key", "doc_id")
 
 
+def op3_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, kept: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return jaccard.join(_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces(docs, _vocabulary("word_bpe_49k.json"))).withColumnRenamed("key", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").where(~held).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    out = docs.select("doc_id", held.alias("held_out"), toxicity.score(model, docs).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(flac.media(_table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
+def op7_itq_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("key", "vec_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(_remainder(4) == 2, F.lit(False))
@@ -46,6 +72,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_digests(_table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -80,5 +110,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-QUERIES = {"op2_bpe_chunks": op2_bpe_chunks, "op4_best_fit_packing": op4_best_fit_packing, "op6_flac_media": op6_flac_media, "op8_language_id": op8_language_id, "op10_chat_format": op10_chat_format}
+QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_bpe_chunks": op2_bpe_chunks,
+    "op3_jaccard_forest": op3_jaccard_forest,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_flac_media": op6_flac_media,
+    "op7_itq_neardup": op7_itq_neardup,
+    "op8_language_id": op8_language_id,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_chat_format": op10_chat_format,
+}
 ORACLE_SQL = {"op10_chat_format": CHAT_SQL}
