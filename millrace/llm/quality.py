@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
-Seven heuristic labellers vote on each document (good, bad or no opinion). Expectation-maximisation over the counts of
-vote patterns (at most 3 to the 7, so all documents count) estimates each labeller's accuracy and the share of good
+Ten heuristic labellers vote on each document (good, bad or no opinion). Expectation-maximisation over the counts of
+vote patterns (at most 3 to the 10, whatever the number of documents; all of them count) estimates each labeller's accuracy and the share of good
 documents, and gives each pattern a posterior. Posterior labels of a bounded sample train a hashed linear scorer over
 word shapes and a few binned shares; the scorer then judges every document by its whole text.
 
@@ -17,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,43 +30,58 @@ from .lineage import stage
 GOOD, BAD, NONE = 0, 1, 2
 DIM = 1 << 13
 SYMBOLS = b"#*&$%@^~=<>{}[]\\_+"
-UPPER = re.compile(r"[A-ZÀ-Þ]")
-LETTERS = re.compile(r"[^\W\d_]+")
-#: For each labeller the share up to which it votes good and from which it votes bad.
-BOUNDS = ((0.01, 0.05), (0.15, 0.35), (0.03, 0.15), (0.03, 0.15), (0.3, 0.6), (0.05, 0.2), (0.25, 0.4))
-LABELLERS = ("symbols", "capitals", "exclamations", "bars", "repeated_lines", "doubled_ends", "non_letters")
+CAPITALS = bytes(range(65, 91))
+ASCII_LETTERS = CAPITALS + bytes(range(97, 123))
+HIGH = bytes(range(128, 256))
+#: Each labeller's name, the share up to which it votes good, and the share from which it votes bad.
+LABELLERS = (
+    ("symbols", 0.03, 0.10),
+    ("capitals", 0.20, 0.50),
+    ("exclamations", 0.05, 0.30),
+    ("bars", 0.05, 0.20),
+    ("lone_marks", 0.05, 0.20),
+    ("word_said_twice", 0.12, 0.40),
+    ("repeated_words", 0.65, 0.80),
+    ("doubled_ends", 0.05, 0.30),
+    ("marks", 0.07, 0.11),
+    ("redundancy", 0.65, 0.80),
+)
 DOUBLED = re.compile(r"[^\w\s]{2}(?!\S)")
 
 
 def shares(text: str) -> tuple[float, ...]:
-    """What the labellers look at, in the order of LABELLERS."""
-    b = text.encode()
-    words = len(text.split())
-    lines = [x for x in text.split("\n") if x.strip()]
-    n = max(1, len(text))
-    solid = n - text.count(" ") - text.count("\n")
-    letters = sum(map(len, LETTERS.findall(text)))
+    """What the labellers look at, in the order of LABELLERS. Characters beyond ASCII count as letters; 20 more characters in
+    the denominator keep very short texts from looking odd."""
+    b, words = text.encode(), text.split()
+    n, size = max(1, len(words)), max(1, len(text))
+    solid = max(1, size - text.count(" ") - text.count("\n"))
+    ascii_letters = len(b) - len(b.translate(None, ASCII_LETTERS))
+    digits = len(b) - len(b.translate(None, b"0123456789"))
+    beyond = len(text) - len(b.translate(None, HIGH))
     return (
-        (len(b) - len(b.translate(None, SYMBOLS))) / n,
-        len(UPPER.findall(text)) / max(1, letters),
-        text.count("!") / max(1, words),
-        text.count("|") / max(1, words),
-        1 - len(set(lines)) / max(1, len(lines)),
-        len(DOUBLED.findall(text)) / max(1, words),
-        1 - letters / max(1, solid),
+        (len(b) - len(b.translate(None, SYMBOLS))) / size,
+        (len(b) - len(b.translate(None, CAPITALS))) / (ascii_letters + 20),
+        text.count("!") / n,
+        text.count("|") / n,
+        sum(map(text.count, (" | ", " - ", " * "))) / n,
+        sum(map(eq, words, words[1:])) / n,
+        1 - len(set(words)) / n,
+        len(DOUBLED.findall(text)) / n,
+        (solid - ascii_letters - beyond - digits) / (solid + 20),
+        1 - len(zlib.compress(b, 1)) / max(1, len(b)),
     )
 
 
 def vote(values: tuple[float, ...]) -> int:
     """The votes as one number in base 3."""
     out = 0
-    for v, (good, bad) in zip(values, BOUNDS, strict=True):
+    for v, (_, good, bad) in zip(values, LABELLERS, strict=True):
         out = 3 * out + (GOOD if v <= good else BAD if v >= bad else NONE)
     return out
 
 
 def votes_of(pattern: int) -> list[int]:
-    return [pattern // 3**i % 3 for i in range(len(BOUNDS))][::-1]
+    return [pattern // 3**i % 3 for i in range(len(LABELLERS))][::-1]
 
 
 def votes(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -80,23 +96,22 @@ def votes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def expectation_maximisation(counts: dict[int, int], steps: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
     """The probability of `good` for each pattern, P(vote | class) by labeller and class, and the share of good documents.
-    It starts from the mean of the opinions, with 1 for good, and each labeller's table is smoothed by one document."""
+    It starts from the number of bad votes (two or more: likely bad), and each labeller's table is smoothed by one document."""
     patterns = sorted(counts)
     if not patterns:
-        return {}, np.full((len(BOUNDS), 2, 3), 1 / 3), 0.5
+        return {}, np.full((len(LABELLERS), 2, 3), 1 / 3), 0.5
     v = np.array([votes_of(p) for p in patterns])
     n = np.array([counts[p] for p in patterns], float)
-    seen = (v != NONE).sum(1)
-    good = np.where(seen > 0, ((v == GOOD).sum(1) + 0.5) / (seen + 1), 0.5)
-    good = np.where((v == BAD).any(1), np.minimum(good, 0.4), good)  # one sign of junk outweighs the absence of others
-    table, prior = np.zeros((len(BOUNDS), 2, 3)), 0.5
+    signs = (v == BAD).sum(1)
+    good = np.where(signs == 0, 0.95, np.where(signs == 1, 0.6, 0.05))
+    table, prior = np.zeros((len(LABELLERS), 2, 3)), 0.5
     for _ in range(steps):
         w = np.stack([good * n, (1 - good) * n])
         prior = (w[0].sum() + 1) / (n.sum() + 2)
         for k in range(3):
             table[:, :, k] = ((v == k).T[:, None, :] * w[None]).sum(2) + 1 / 3
         table /= table.sum(2, keepdims=True)
-        ll = np.log([prior, 1 - prior]) + np.log(table[np.arange(len(BOUNDS))[None, :, None], np.arange(2)[None, None, :], v[:, :, None]]).sum(1)
+        ll = np.log([prior, 1 - prior]) + np.log(table[np.arange(len(LABELLERS))[None, :, None], np.arange(2)[None, None, :], v[:, :, None]]).sum(1)
         new = 1 / (1 + np.exp(np.clip(ll[:, 1] - ll[:, 0], -50, 50)))
         if np.abs(new - good).max() < 1e-9:
             break
@@ -114,7 +129,7 @@ def shape(word: str) -> str:
 
 
 def bins(values: tuple[float, ...]) -> list[int]:
-    return [zlib.crc32(f"{name}:{min(9, int(v * 20))}".encode()) % DIM for name, v in zip(LABELLERS, values, strict=True)]
+    return [zlib.crc32(f"{name}:{max(0, min(9, int(v * 20)))}".encode()) % DIM for (name, _, _), v in zip(LABELLERS, values, strict=True)]
 
 
 @dataclass
@@ -138,16 +153,20 @@ class Model:
             self._seen[w] = zlib.crc32(shape(w).encode()) % DIM
         return found, np.fromiter(map(self._seen.__getitem__, chain.from_iterable(found)), np.int64)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, list[float | None]]:
+        """The scorer's probability of good quality, and the labellers' posterior."""
         found, ids = self._ids(texts)
         counts = np.array([len(f) for f in found], np.int64)
-        out = np.zeros(len(texts))
-        has = counts > 0
-        if has.any():
+        out, weak = np.zeros(len(texts)), [None] * len(texts)
+        has = np.flatnonzero(counts)
+        if len(has):
             z = np.add.reduceat(self.weights[ids], (np.cumsum(counts) - counts)[has]) / counts[has] + self.bias
-            z += [self.weights[bins(shares(t))].sum() for t, h in zip(texts, has, strict=True) if h]
+            for k, i in enumerate(has.tolist()):
+                v = shares(texts[i])
+                z[k] += self.weights[bins(v)].sum()
+                weak[i] = self.posterior.get(vote(v), self.prior)
             out[has] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        return out
+        return out, weak
 
     def rows(self, texts: list[str]) -> np.ndarray:
         """Dense features of training texts: shares of hashed shapes, and bins."""
@@ -162,22 +181,25 @@ class Model:
 def train(model: Model, texts: list[str], target: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> None:
     """Logistic regression on posterior labels, by Adam steps over all rows; the classes weigh alike."""
     x = model.rows(texts)
+    used = np.flatnonzero(x.any(0))
+    x = x[:, used].astype(np.float64)
     wt = np.where(target >= 0.5, 0.5 / max(1, (target >= 0.5).sum()), 0.5 / max(1, (target < 0.5).sum()))
-    w, b, m, v = np.zeros(DIM), 0.0, np.zeros(DIM + 1), np.zeros(DIM + 1)
+    w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for s in range(1, steps + 1):
         d = wt * (1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50))) - target)
         g = np.r_[x.T @ d + ridge * w, d.sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**s)) / (np.sqrt(v / (1 - 0.99**s)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    model.weights, model.bias = w, float(b)
+    model.weights, model.bias = np.zeros(DIM), float(b)
+    model.weights[used] = w
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", per_class: int = 1000, max_chars: int = 20_000) -> Model:
     """The labellers' votes are counted over all documents; the scorer learns from `per_class` documents that look good
     and as many that look bad, those whose ids hash lowest among texts of at most `max_chars` characters."""
     held = stage(votes(docs.where(F.col(text).isNotNull()), key, text), "votes").where(F.col("pattern").isNotNull())
-    counts = {r["pattern"]: r["count"] for r in held.groupBy("pattern").count().collect()}  # at most 3 to the 7
+    counts = {r["pattern"]: r["count"] for r in held.groupBy("pattern").count().collect()}  # at most 3 to the 10
     posterior, table, prior = expectation_maximisation(counts)
     model = Model(posterior, table, prior, np.zeros(DIM), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
     bad = [p for p, g in posterior.items() if g < 0.5]
@@ -200,8 +222,9 @@ def judge(model: Model, docs: DataFrame, text: str = "text") -> Column:
     def run(texts: pa.Array) -> pa.Array:
         score, weak = [], []
         for _, part in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), 0, 1 << 20):
-            score += held.value.scores(part).tolist()
-            weak += [held.value.posterior.get(vote(shares(t)), held.value.prior) if t.strip() else None for t in part]
+            a, b = held.value.judge(part)
+            score += a.tolist()
+            weak += b
         return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(weak, pa.float64())], ["score", "weak"])
 
     return run(F.col(text))

@@ -5,8 +5,8 @@ and runs of single characters joined. The kernel counts common subsequences of t
 string is at most SPAN, each weighted by DECAY to the power of its span, normalised to 1 for equal units. Characters
 that are no letters only widen gaps, so `i-d.i*ot` is close to `idiot`, and stems are close to their inflections.
 
-Learning: labels mark documents; letter sequences that many toxic and hardly any clean documents hold mark the units
-(and so the sentences) that carry the label. Landmarks are chosen among such units and the hardest clean ones, units
+Learning: labels mark documents; letter sequences that stand in many places of toxic documents and in hardly any clean one mark
+the units (and so the sentences) that carry the label. Landmarks are chosen among such units and the hardest clean ones, units
 are mapped to the landmarks' span (Nystroem), and a squared-hinge machine is fitted there, with clean words that it
 gets wrong added in two rounds. Since the kernel is an inner product over three-letter subsequences, the machine
 collapses into one weight for each, which scores units without visiting landmarks. A document's margin is the largest
@@ -136,32 +136,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -50, 50)))
 
 
-def indicators(toxic: list[set[str]], clean: list[set[str]], least: float = 0.004, sizes: tuple[int, ...] = (4, 5, 6)) -> list[str]:
-    """Letter sequences that together cover the toxic documents, each rare among the clean ones: a greedy cover."""
+def indicators(toxic: list[list[str]], clean: list[set[str]], least: float = 0.012, sizes: range = range(4, 11)) -> list[str]:
+    """Letter sequences that carry the label: a greedy cover of the places of words that clean documents hardly hold.
+    Places with the same neighbours (in copies of a document) count once, and a sequence needs places in `least` of the
+    toxic documents beyond those of sequences chosen before; it must be rare among the clean documents."""
     grams = lambda w: {w[i : i + n] for n in sizes for i in range(len(w) - n + 1)}
     clean_df: Counter = Counter(chain.from_iterable(clean))
-    rare = max(1, 0.002 * len(clean))
-    where: dict[str, set[int]] = {}
-    for i, words in enumerate(toxic):
-        for w in words:
-            if clean_df[w] <= rare and len(w) <= 40:
-                for g in grams(w):
-                    where.setdefault(g, set()).add(i)
+    rare = 0.002 * len(clean)
+    places: dict[str, set] = {}
+    for words in toxic:
+        for a, w, z in zip(["", *words], words, [*words[1:], ""], strict=False):
+            w = w.strip(".,;:!?\"'()|*&$%#")
+            if 4 <= len(w) <= 40 and clean_df[w] <= rare:
+                places.setdefault(w, set()).add(hash((a, z)))
+    where: dict[str, set] = {}
+    for w, p in places.items():
+        own = {(w, x) for x in p}
+        for g in grams(w):
+            if g.isalpha():
+                where.setdefault(g, set()).update(own)
     need = max(4, least * len(toxic))
-    where = {g: s for g, s in where.items() if len(s) >= need and g.isalpha()}
+    where = {g: s for g, s in where.items() if len(s) >= need}
     seen: Counter = Counter()
     for w, n in clean_df.items():
         for g in grams(w) & where.keys():
             seen[g] += n
     where = {g: s for g, s in where.items() if seen[g] / max(1, len(clean)) <= 0.05 * len(s) / len(toxic)}
     out: list[str] = []
-    left = set(range(len(toxic)))
     while where:
-        best = max(sorted(where), key=lambda g: (len(where[g] & left), len(g)))
-        if len(where[best] & left) < need:
+        best = max(sorted(where), key=lambda g: (len(where[g]) - 20 * seen[g] * len(toxic) / max(1, len(clean)), len(g)))
+        if len(where[best]) < need:
             break
         out.append(best)
-        left -= where.pop(best)
+        done = where.pop(best)
+        where = {g: left for g, s in where.items() if len(left := s - done) >= need}
     return out
 
 
@@ -223,8 +231,9 @@ def _spread(words: list[str], n: int) -> list[str]:
 
 def build(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int = 3) -> Model:
     """Learns from toxic and clean texts."""
-    bad, good = [set(units(t)) for t in dict.fromkeys(toxic)], [set(units(t)) for t in dict.fromkeys(clean)]
-    signs = indicators(bad, good) if bad and good else []
+    listed, good = [units(t) for t in dict.fromkeys(toxic)], [set(units(t)) for t in dict.fromkeys(clean)]
+    bad = [set(x) for x in listed]
+    signs = indicators(listed, good) if bad and good else []
     none = Model(np.zeros(BASE**3, np.float32), -1.0, 1.0, -50.0)
     if not signs:
         return none
@@ -245,7 +254,8 @@ def build(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int =
         root = vec[:, ok] / np.sqrt(val[ok])
         x = np.concatenate([kernel(pos), kernel(neg)]) @ root
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        w, bias = _machine(x, y, np.r_[np.full(len(pos), 0.5 / len(pos)), np.full(len(neg), 0.5 / len(neg))] * len(y))
+        often = np.sqrt([carried[p] for p in pos])
+        w, bias = _machine(x, y, np.r_[often / often.sum(), np.full(len(neg), 1 / len(neg))] * 1000)
         table = np.zeros(BASE**3, np.float32)
         table[kernel.codes] = kernel.dense.T @ (root @ w)
         model = Model(table, bias, 1.0, 0.0)
@@ -278,7 +288,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return known.join(F.broadcast(ranked), "_k").select(F.col("_y").alias("label"), F.col("_t").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 4000, max_chars: int = 20_000) -> Model:
     got = training_rows(docs, labels, key, text, label, per_class, max_chars).toArrow().sort_by([("label", "ascending"), ("text", "ascending")])
     y = got["label"].to_pylist()
     t = got["text"].to_pylist()
