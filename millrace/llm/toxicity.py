@@ -10,7 +10,7 @@ the units (and so the sentences) that carry the label. Landmarks are chosen amon
 are mapped to the landmarks' span (Nystroem), and a squared-hinge machine is fitted there, with clean words that it
 gets wrong added in two rounds. Since the kernel is an inner product over three-letter subsequences, the machine
 collapses into one weight for each, which scores units without visiting landmarks. A document's margin is the largest
-of its units; a logistic curve fitted on the training documents turns it into the score.
+of its units; a logistic curve placed by the training documents turns it into the score.
 
 Null and empty texts have no unit and get the lowest margin's score. Without training rows of both labels the score is
 0 everywhere. Rows with a null label or id teach nothing; an id with several labels counts as toxic if any says so.
@@ -57,12 +57,15 @@ def units(text: str) -> list[str]:
 
 
 def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter classes of windows of WIDTH characters, and the index of the word that each row belongs to."""
+    """Letter classes of windows of WIDTH characters, and the index of the word that each row belongs to. A word that
+    holds other characters also has the rows of its letters alone."""
     parts, own = [], []
     for i, w in enumerate(words):
-        for a in range(0, max(1, len(w) - WIDTH // 2), WIDTH // 2) if len(w) > WIDTH else (0,):
-            parts.append(w[a : a + WIDTH])
-            own.append(i)
+        forms = (w,) if w.isalpha() else (w, "".join(filter(str.isalpha, w)))
+        for f in forms:
+            for a in range(0, max(1, len(f) - WIDTH // 2), WIDTH // 2) if len(f) > WIDTH else (0,):
+                parts.append(f[a : a + WIDTH])
+                own.append(i)
     n = np.array([len(p) for p in parts])
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     out = np.zeros((len(parts), WIDTH), np.int32)
@@ -70,6 +73,12 @@ def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array(own, np.int64)
 
 
+def _windows(words: list[str]) -> np.ndarray:
+    """The first window of each word."""
+    rows, own = _matrix([w[:WIDTH] for w in words])
+    return rows[np.r_[True, own[1:] != own[:-1]]] if len(rows) else rows
+
+
 def _features(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all subsequences of each row (0: none) and their weights."""
     codes, weights = [], []
@@ -149,14 +158,19 @@ def indicators(toxic: list[list[str]], clean: list[set[str]], least: float = 0.0
             w = w.strip(".,;:!?\"'()|*&$%#")
             if 4 <= len(w) <= 40 and clean_df[w] <= rare:
                 places.setdefault(w, set()).add(hash((a, z)))
+    need = max(6, least * len(toxic))
+    size = {w: len(p) for w, p in places.items()}
     where: dict[str, set] = {}
-    for w, p in places.items():
-        own = {(w, x) for x in p}
-        for g in grams(w):
-            if g.isalpha():
-                where.setdefault(g, set()).update(own)
-    need = max(4, least * len(toxic))
-    where = {g: s for g, s in where.items() if len(s) >= need}
+    for n in sizes:  # one length after the other, to hold few sequences at a time
+        total: Counter = Counter()
+        for w, k in size.items():
+            for g in {w[i : i + n] for i in range(len(w) - n + 1)}:
+                total[g] += k
+        where |= {g: set() for g, k in total.items() if k >= need and g.isalpha()}
+    for i, (w, p) in enumerate(places.items()):
+        own = [(i, x) for x in p]
+        for g in grams(w) & where.keys():
+            where[g].update(own)
     seen: Counter = Counter()
     for w, n in clean_df.items():
         for g in grams(w) & where.keys():
@@ -177,7 +191,7 @@ class _Kernel:
     """Normalised kernels of units with a set of landmarks."""
 
     def __init__(self, marks: list[str]) -> None:
-        codes, self.w = _features(_matrix([m[:WIDTH] for m in marks])[0])
+        codes, self.w = _features(_windows(marks))
         self.norm = np.maximum(_norms(codes, self.w), 1e-9)
         self.codes = np.unique(codes[codes > 0])
         self.column = np.full(BASE**3, -1, np.int64)
@@ -194,7 +208,7 @@ class _Kernel:
     def __call__(self, words: list[str]) -> np.ndarray:
         out = []
         for g in range(0, len(words), 512):
-            codes, _ = _features(_matrix([w[:WIDTH] for w in words[g : g + 512]])[0])
+            codes, _ = _features(_windows(words[g : g + 512]))
             out.append(self._dense(codes) @ self.dense.T / np.maximum(_norms(codes, self.w), 1e-9)[:, None])
         return np.concatenate(out) if out else np.zeros((0, len(self.dense)))
 
@@ -243,6 +257,15 @@ def build(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int =
     pos = [w for w, _ in sorted(carried.items(), key=lambda x: (-x[1], x[0]))][:6000]
     vocabulary = sorted(w for w in clean_df if len(w) >= 3)
     neg = vocabulary[:: max(1, len(vocabulary) // 6000)]
+    rng = np.random.default_rng(11)
+    gapped = {}  # frequent units with an inserted character, so that the machine learns to bear them
+    for w in [p for p in pos if len(p) >= 5 and p.isalpha()][:150]:
+        for _ in range(2):
+            k = int(rng.integers(1, len(w)))
+            gapped.setdefault(w[:k] + "aeinrstlo"[int(rng.integers(9))] + w[k:], carried[w] / 5)
+    gapped = {w: n for w, n in gapped.items() if w not in clean_df and w not in carried}
+    pos += list(gapped)
+    carried.update(gapped)
     model = none
     for _ in range(rounds):
         marks = _spread(pos, landmarks * 2 // 3)
@@ -266,20 +289,22 @@ def build(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int =
         if not hard:
             break
         neg += hard
-    m = np.r_[model.margins(toxic), model.margins(clean)]
-    t = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    wt = np.where(t > 0, 0.5 / len(toxic), 0.5 / len(clean))
-    a, b = 1.0, 0.0
-    for _ in range(200):  # logistic curve, by damped Newton steps; the ridge keeps it finite on separable rows
-        p = 1 / (1 + np.exp(-np.clip(a * m + b, -50, 50)))
-        g = np.array([(wt * (p - t) * m).sum() + 1e-3 * a, (wt * (p - t)).sum()])
-        h = wt * p * (1 - p)
-        step = np.linalg.solve(np.array([[(h * m * m).sum() + 1e-3, (h * m).sum()], [(h * m).sum(), h.sum() + 1e-6]]), g)
-        a, b = a - 0.5 * step[0], b - 0.5 * step[1]
-    model.slope, model.shift = max(float(a), 1e-3), float(b)
+    model.slope, model.shift = curve(model.margins(toxic), model.margins(clean))
     return model
 
 
+def curve(toxic: np.ndarray, clean: np.ndarray, slope: float = 5.0) -> tuple[float, float]:
+    """A logistic curve with a fixed slope that crosses 1/2 where the classes part best: in the middle of the longest
+    stretch of margins with the greatest difference of true and false positive rates. Documents whose label their words
+    do not show (far beyond the stretch) don't move it, as they would a fitted slope."""
+    at = np.unique(np.concatenate([toxic, clean, [-1.0, 1.0]]))
+    edge = (at[1:] + at[:-1]) / 2
+    gain = np.array([(toxic > e).mean() - (clean > e).mean() for e in edge])
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    widest = max(best.tolist(), key=lambda i: at[i + 1] - at[i])
+    return slope, -slope * float(edge[widest])
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int) -> DataFrame:
     """A bounded sample: of each class the `per_class` labelled ids that hash lowest, texts of at most `max_chars` characters."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(label) > 0).cast("int").alias("_y"))
@@ -288,7 +313,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return known.join(F.broadcast(ranked), "_k").select(F.col("_y").alias("label"), F.col("_t").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 4000, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500, max_chars: int = 8_000) -> Model:
     got = training_rows(docs, labels, key, text, label, per_class, max_chars).toArrow().sort_by([("label", "ascending"), ("text", "ascending")])
     y = got["label"].to_pylist()
     t = got["text"].to_pylist()
