@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .batches import slices
 from .lineage import drop, stage
 
-LENGTH, GRAM, LOT_BYTES, SORT_BYTES = 50, 26, 12 << 20, 1 << 19
+LENGTH, GRAM, LOT_BYTES, SORT_BYTES = 50, 26, 8 << 20, 1 << 19
 SPAN = LENGTH - GRAM + 1
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -93,20 +93,28 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(n) - n, n
 
 
-def runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, last window, anchor) of each run; windows are positions in data."""
-    if len(data) < LENGTH:
+def runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, last window, anchor) of each run; windows are positions in data. The bytes are looked at in
+    parts that overlap, to bound memory; a run that crosses parts comes in two, which changes nothing in the result."""
+    out = []
+    end = begin + size
+    for lo in range(0, max(0, len(data) - LENGTH + 1), part):
+        piece = data[lo : lo + part + LENGTH - 1]
+        anchor = _least(_mix(Prefix(piece).all(GRAM)), SPAN)
+        hi = lo + len(anchor)
+        a, z = int(np.searchsorted(begin, lo, "right")) - 1, int(np.searchsorted(begin, hi, "left"))
+        text = np.repeat(np.arange(a, z), np.minimum(end[a:z], hi) - np.maximum(begin[a:z], lo))
+        ok = np.arange(lo, hi) + LENGTH <= end[text]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
+        head = np.flatnonzero(new & ok)
+        own = text[head]
+        last = np.minimum(np.r_[head[1:] - 1, len(anchor) - 1] + lo, end[own] - LENGTH)
+        out.append((own, head + lo, last, _mix(anchor[head])))
+    if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U)
-    anchor = _least(_mix(Prefix(data).all(GRAM)), SPAN)
-    text = np.repeat(np.arange(len(size), dtype=np.int32), size)[: len(anchor)]
-    ok = np.arange(len(anchor)) + LENGTH <= (begin + size)[text]
-    new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-    head = np.flatnonzero(new & ok)
-    own = text[head].astype(np.int64)
-    last = np.minimum(np.r_[head[1:] - 1, len(anchor) - 1], (begin + size)[own] - LENGTH)
-    return own, head, last, _mix(anchor[head])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _dealt(ids: np.ndarray, lots: int) -> np.ndarray:
@@ -377,9 +385,10 @@ def removals(rows: DataFrame, lots: int) -> DataFrame:
             begin = np.cumsum(length) - length
             data = np.frombuffer(raw, np.uint8)
             key = np.zeros(len(ids), U)
-            for g in range(0, len(ids), 1 << 16):  # anchors again, by parts
-                lo, hi = int(begin[g]), int(begin[min(len(ids), g + (1 << 16)) - 1] + length[min(len(ids), g + (1 << 16)) - 1])
-                key[g : g + (1 << 16)] = _least(_mix(Prefix(data[lo:hi]).all(GRAM)), SPAN)[begin[g : g + (1 << 16)] - lo]
+            for g in range(0, len(ids), 1 << 13):  # anchors again, by parts: those of the runs' first windows
+                own = begin[g : g + (1 << 13)]
+                first = data[own[:, None] + np.arange(LENGTH)].ravel()
+                key[g : g + (1 << 13)] = _least(_mix(Prefix(first).all(GRAM)), SPAN)[np.arange(len(own)) * LENGTH]
             order = np.argsort(key, kind="stable")
             k = key[order]
             first = np.r_[True, k[1:] != k[:-1]]
