@@ -5,7 +5,7 @@
    corners of the cube and the orthogonal map that fits them best (iterative quantisation), each from another start.
    A vector's code has one bit for each rotated coordinate, which the rotation keeps balanced.
 3. The codes of all rotations are cut into substrings, the keys of as many tables; their width grows with the logarithm
-   of the number of vectors, so that buckets stay small, and the number of tables with it, until pairs at the threshold
+   of the number of vectors of the largest label, so that buckets stay small, and the number of tables with it, until pairs at the threshold
    share a key somewhere with the target probability (bits taken as independent, each differing by angle / pi).
 4. Vectors that share a key and a label are compared by the cosine of their original components in double precision, in
    pairs of blocks; a pair counts in the first table where it meets. Each task returns link counts, weighted by class
@@ -32,8 +32,8 @@ BLOCK = 1500
 
 
 def width_for(vectors: int) -> int:
-    """Bits of a table's key: buckets of random vectors then hold some tens of rows."""
-    return min(24, max(8, math.ceil(math.log2(max(2, vectors) / 16))))
+    """Bits of a table's key for so many vectors of one label: buckets then hold some tens of rows."""
+    return min(24, max(8, math.ceil(math.log2(max(2, vectors) / 64))))
 
 
 def tables_for(threshold: float, width: int, target: float) -> int:
@@ -133,8 +133,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = rows.withColumn("class", F.when(F.size("vector") == d, F.col("class")))
     classes = rows.where(F.col("class").isNotNull()).groupBy("label", "class").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
     own = rows.where(F.col("class").isNotNull()).select(F.col("key").alias("rep"), "vector", F.col("class").alias("c"))
-    total = rows.count()
-    width = width_for(total)
+    most = rows.where(F.col("class").isNotNull()).groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    width = width_for(most)
     cuts = spark.sparkContext.broadcast(learn(x, tables_for(threshold, width, target), width))
 
     @F.pandas_udf("array<long>")
