@@ -46,6 +46,37 @@ def tokenizer(path: str):
     return t
 
 
+#: A word of letters whose case and composition need no thought, perhaps after a blank and before one mark.
+PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]?)\Z")
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = dict(enumerate(chr(b) if b in set(_PRINTABLE) else "" for b in range(256)))
+_BYTE_LETTERS |= dict(zip((b for b, c in list(_BYTE_LETTERS.items()) if not c), map(chr, range(256, 324)), strict=True))
+
+
+def new_words(tok, words: list[str], known: dict[str, bytes], lower: bool) -> None:
+    """Adds words' ids to `known`. A plain word is one piece for the pre-tokenizer and its mark another, so they go to the
+    tokenizer's model without the steps before it (lower: the normalizer lowers case); all others are encoded as usual."""
+    pieces, rest, model = {}, [], tok.model
+    for w in words:
+        m = PLAIN.match(w)
+        if m is None:
+            rest.append(w)
+            continue
+        core = m[1].lower() if lower else m[1]
+        ids = known.get(core) or pieces.get(core)
+        if ids is None:
+            ids = pieces[core] = np.array([t.id for t in model.tokenize(core.encode().decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
+        if m[2]:
+            mark = known.get(m[2])
+            if mark is None:
+                mark = known[m[2]] = np.array(tok.encode(m[2], add_special_tokens=False).ids, "<u4").tobytes()
+            ids += mark
+        known[w] = ids
+    for i in range(0, len(rest), 8192):
+        for w, e in zip(rest[i : i + 8192], tok.encode_batch_fast(rest[i : i + 8192], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+
+
 def _mix() -> np.ndarray:
     """A fixed random value for each of 256 classes of characters."""
     x = np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -130,9 +161,7 @@ class Encoder:
         if len(self.words) + len(fresh) > self.most_words:
             self.words = {}
             fresh = list(set().union(*split))
-        for i in range(0, len(fresh), 8192):
-            for w, e in zip(fresh[i : i + 8192], self.tok.encode_batch_fast(fresh[i : i + 8192], add_special_tokens=False), strict=True):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+        new_words(self.tok, fresh, self.words, False)
         for x, words in zip(new, split, strict=True):
             self.ids[x] = b"".join(map(self.words.__getitem__, words))
             self.held += 2 * len(x)
@@ -143,8 +172,7 @@ class Encoder:
 @lru_cache(2)
 def _bytes_of(path: str) -> list[bytes]:
     """The bytes that each id stands for: the byte-level alphabet undone; ids without an entry are skipped, as in decode."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    back = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    back = {c: b for b, c in _BYTE_LETTERS.items()}
     vocab = tokenizer(path).get_vocab(with_added_tokens=True)
     out = [b""] * (max(vocab.values()) + 1)
     for s, i in vocab.items():

@@ -18,7 +18,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .bpe import tokenizer
+from .bpe import new_words, tokenizer
 from .lineage import stage
 
 
@@ -45,13 +44,7 @@ class WordEncoder:
         if len(self.ids) + len(new) > self.limit:
             self.ids = {}
             new = list(set().union(*split))
-        for i in range(0, len(new), 8192):
-            got = self.tok.encode_batch_fast(new[i : i + 8192], add_special_tokens=False)
-            flat = np.fromiter(chain.from_iterable(x := [e.ids for e in got]), "<u4").tobytes()
-            at = 0
-            for w, ids in zip(new[i : i + 8192], x, strict=True):
-                self.ids[w] = flat[at : at + 4 * len(ids)]
-                at += 4 * len(ids)
+        new_words(self.tok, new, self.ids, True)
         return [b"".join(map(self.ids.__getitem__, s)) for s in split]
 
 
