@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,7 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for an application, so that it need not be installed there."""
+    _bound_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -28,6 +30,20 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(target)
 
 
+def _bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches to Python workers hold at most 8 MB: 10,000 long texts at once would fill an executor's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > most:
+        spark.conf.set(key, str(most))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    return f"{at.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+
+
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings that the package's plans assume: adaptive execution, UTC, Arrow."""
     b = SparkSession.builder.appName(app)
