@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .batches import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -191,10 +192,20 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _forget() -> None:
+    encoder.cache_clear()
+    tokenizer.cache_clear()
+    _bytes_of.cache_clear()
+
+
+caches.register("bpe", _forget)
+
+
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and ids (binary, little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.claim("bpe")
         for part, texts in slices(batches, limit=2 << 20):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder(path).encode(texts), pa.binary())], ["key", "ids"])
 
@@ -205,6 +216,7 @@ def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str =
     """key, n_tokens, ids_sha256, decoded_sha256: encoded and decoded in one pass, so that no ids leave the worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.claim("bpe")
         for part, texts in slices(batches, limit=2 << 20):
             ids = encoder(path).encode(texts)
             yield pa.RecordBatch.from_arrays(

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import caches
 from .batches import slices
 from .components import components
 from .lineage import stage
@@ -52,13 +53,14 @@ class _Words(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
 
 
 _HASH = _Words()
+caches.register("jaccard", _HASH.clear)
 
 
 def shingles(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +114,7 @@ def signatures(docs: DataFrame, key: str, text: str, depth: int, gram: int) -> D
     """key, fp (binary; null without shingles), chars and keys: the prefix hash in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.claim("jaccard")
         for part, texts in slices(batches, limit=2 << 20):
             s, n = shingles(texts, gram)
             has = np.flatnonzero(n)
@@ -161,6 +164,7 @@ def overlaps(s: np.ndarray, counts: np.ndarray, left: int, chunk: int = 8192) ->
 def verify(pdf: pd.DataFrame, threshold: float, gram: int) -> pd.DataFrame:
     """Links of one pair of blocks (side 0 against side 1; side 0 alone: all pairs in it): for each representative the
     classes' sizes it links with, and its root in a spanning forest."""
+    caches.claim("jaccard")
     pdf = pdf.sort_values(["side", "key"], ignore_index=True)
     s, n = shingles(pdf["text"].tolist(), gram)
     left, same = int((pdf["side"] == 0).sum()), not (pdf["side"] == 1).any()

@@ -16,10 +16,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .batches import slices
+from .sampling import lowest
 
 WORD = re.compile(r"[^\W\d_]+")
 LETTER = regex.compile(r"\p{L}")
@@ -39,8 +41,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, lang: str, text: str, key: str, per_lang: int, max_chars: int) -> DataFrame:
     """A bounded sample: of each language the `per_lang` texts of at most `max_chars` characters whose ids hash lowest."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
-    ids = known.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.xxhash64(key).alias("_h"))
-    ids = ids.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k"))).where(F.col("_r") <= per_lang).select("_k").distinct()
+    ids = lowest(known.select(F.col(key).alias("_k"), F.col(lang).alias("_l")), "_l", "_k", per_lang).select("_k").distinct()
     return known.join(F.broadcast(ids), F.col(key) == F.col("_k"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
 
@@ -163,6 +164,7 @@ def predict(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def run(texts: pa.Array) -> pa.Array:
+        caches.claim("langid")
         langs, scores = [], []
         for _, part in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), 0, 1 << 20):
             a, b = held.value.predict(part)

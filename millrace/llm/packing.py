@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bpe, caches
 from .batches import slices
 from .bpe import new_words, tokenizer
 from .lineage import stage
@@ -53,11 +54,20 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _forget() -> None:
+    word_encoder.cache_clear()
+    bpe.tokenizer.cache_clear()
+
+
+caches.register("packing", _forget)
+
+
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """key, piece, start, length, ids_crc32."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.claim("packing")
         for part, texts in slices(batches, limit=2 << 20):
             which, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(word_encoder(path).encode(texts)):

@@ -21,11 +21,13 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .batches import slices
 from .lineage import stage
+from .sampling import lowest
 
 GOOD, BAD, NONE = 0, 1, 2
 DIM = 1 << 13
@@ -205,8 +207,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", per_class: int
     bad = [p for p, g in posterior.items() if g < 0.5]
     if not bad or len(bad) == len(posterior):
         return model
-    marked = held.where(F.col("key").isNotNull()).select(F.col("key").alias("_k"), F.col("pattern").alias("_p"), F.col("pattern").isin(bad).alias("_b"), F.xxhash64("key").alias("_h"))
-    ids = marked.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k"))).where(F.col("_r") <= per_class).select("_k", "_p").dropDuplicates(["_k"])
+    marked = held.where(F.col("key").isNotNull()).select(F.col("key").alias("_k"), F.col("pattern").alias("_p"), F.col("pattern").isin(bad).alias("_b"))
+    ids = lowest(marked, "_b", "_k", per_class).select("_k", "_p").dropDuplicates(["_k"])
     own = docs.where(F.length(text) <= max_chars).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     got = own.join(F.broadcast(ids), "_k").select("_t", "_p").toArrow().sort_by([("_t", "ascending"), ("_p", "ascending")])
     if len(got):
@@ -220,6 +222,7 @@ def judge(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("struct<score: double, weak: double>")
     def run(texts: pa.Array) -> pa.Array:
+        caches.claim("quality")
         score, weak = [], []
         for _, part in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), 0, 1 << 20):
             a, b = held.value.judge(part)

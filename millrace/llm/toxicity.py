@@ -26,10 +26,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .batches import slices
+from .sampling import lowest
 
 WIDTH, SPAN, DECAY, BASE = 24, 7, 0.7, 64
 PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -308,7 +310,7 @@ def curve(toxic: np.ndarray, clean: np.ndarray, slope: float = 5.0) -> tuple[flo
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int) -> DataFrame:
     """A bounded sample: of each class the `per_class` labelled ids that hash lowest, texts of at most `max_chars` characters."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(label) > 0).cast("int").alias("_y"))
-    ranked = marked.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_k"), "_k"))).where(F.col("_r") <= per_class).drop("_r")
+    ranked = lowest(marked, "_y", "_k", per_class)
     known = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     return known.join(F.broadcast(ranked), "_k").select(F.col("_y").alias("label"), F.col("_t").alias("text"))
 
@@ -326,6 +328,7 @@ def score(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
+        caches.claim("toxicity")
         parts = [held.value.scores(t) for _, t in slices(iter([pa.RecordBatch.from_arrays([texts], ["t"])]), 0, 1 << 20)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
