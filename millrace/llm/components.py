@@ -29,10 +29,10 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for every vertex of the edges (a, b): component is the smallest vertex reachable. Staged."""
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = stage(e, "edges")
+    now = stage(e, "edges", tidy=False)
     state = _state(now)
     while state[0]:
-        new = stage(_star(now), "edges")
+        new = stage(_star(now), "edges", tidy=False)
         after = _state(new)
         drop(now)
         now = new

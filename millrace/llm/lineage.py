@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,14 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back; its shuffle files can go afterwards."""
+def stage(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """Writes df as Parquet to the shared folder and reads it back. tidy: waits until the shuffle files of finished jobs
+    are gone, so that they and those of the next job do not stand on disk together."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _OWN.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop finished shuffles
+    for _ in range(2 * tidy):  # the context cleaner follows the collector in the background; some references take two turns
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out

@@ -28,9 +28,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .batches import slices
 from .lineage import drop, stage
 
@@ -93,7 +95,7 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(n) - n, n
 
 
-def runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, part: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first window, last window, anchor) of each run; windows are positions in data. The bytes are looked at in
     parts that overlap, to bound memory; a run that crosses parts comes in two, which changes nothing in the result."""
     out = []
@@ -137,7 +139,8 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """Step A on the documents' side: (bucket, known, ids, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, (part, texts) in enumerate(slices(batches, limit=4 << 20)):
+        caches.claim("suffix")
+        for n, (part, texts) in enumerate(slices(batches, limit=2 << 20)):
             ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             own, _, _, key = runs(*join_texts([t.encode() for t in texts]))
             if not len(own):
@@ -153,7 +156,9 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             rows = [(b, False, ids[start[p]].tobytes(), key[start[p]].astype(np.uint32).tobytes()) for b, p in _groups(bucket[start])]
             if shared.any():
                 full = (bucket[shared].astype(U) << U(32)) | (key[shared] & U(0xFFFFFFFF))
-                rows.append(((int(ids[0]) + n) % buckets, True, ids[shared].tobytes(), full.tobytes()))
+                at = np.flatnonzero(shared)
+                for k in range(0, len(at), 4096):  # rows of moderate size, over many buckets
+                    rows.append(((int(ids[0]) + n + k) % buckets, True, ids[at[k : k + 4096]].tobytes(), full[k : k + 4096].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "known", "ids", "keys"])
 
     return docs.mapInArrow(run, "bucket int, known boolean, ids binary, keys binary")
@@ -194,7 +199,8 @@ PASSAGES = "bucket int, known boolean, lot int, ids binary, a binary, b binary,
 
 
 def passages(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Step B for one lot: unsettled runs (a: starts, b: lengths, text) by bucket, and settled ones (a: starts, b: ends)."""
+    """Step B for one lot: unsettled runs (a: starts, b: lengths, compressed text) by bucket, and settled ones (a: starts, b: ends)."""
+    caches.claim("suffix")
     none = pd.DataFrame({c.split()[0]: [] for c in PASSAGES.split(", ")})
     if not len(docs) or not len(shared):
         return none
@@ -225,9 +231,10 @@ def passages(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataF
     who = np.array(owner, np.int64)
     out = []
     rest = np.flatnonzero(open_)
+    pack = zstandard.ZstdCompressor(level=3)
     for b, p in _groups(bucket[rest]):
         p = rest[p]
-        out.append((b, False, lot, who[p].tobytes(), start[p].astype(np.int32).tobytes(), length[p].astype(np.int32).tobytes(), b"".join([texts[i] for i in p.tolist()])))
+        out.append((b, False, lot, who[p].tobytes(), start[p].astype(np.int32).tobytes(), length[p].astype(np.int32).tobytes(), pack.compress(b"".join([texts[i] for i in p.tolist()]))))
     done = np.flatnonzero(~open_)
     if len(done):
         out.append((lot % buckets, True, lot, who[done].tobytes(), start[done].astype(np.int32).tobytes(), (start + length)[done].astype(np.int32).tobytes(), None))
@@ -376,12 +383,13 @@ def removals(rows: DataFrame, lots: int) -> DataFrame:
     """Step C: (lot, ids, a, b): removed pieces from a to b."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        caches.claim("suffix")
         known = pdf[pdf["known"]]
         out = list(zip(known["lot"].tolist(), known["ids"].tolist(), known["a"].tolist(), known["b"].tolist(), strict=True))
         rest = pdf[~pdf["known"]]
         if len(rest):
             ids, start, length = _joined(rest["ids"], np.int64), _joined(rest["a"], np.int32).astype(np.int64), _joined(rest["b"], np.int32).astype(np.int64)
-            raw = b"".join(rest["text"])
+            raw = b"".join(map(zstandard.ZstdDecompressor().decompress, rest["text"]))
             begin = np.cumsum(length) - length
             data = np.frombuffer(raw, np.uint8)
             key = np.zeros(len(ids), U)
