@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, langid, packing, quality, suffix
-from millrace.llm.lineage import stage
+from millrace.llm.lineage import drop, stage
 from millrace.session import ship
 
 LEAST_LANGUAGE_SCORE, LEAST_QUALITY = 0.5, 0.5
@@ -85,5 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
+        before, docs = docs, stage(step(spark, docs, sf_dir), name)
+        drop(before)
     return docs
