@@ -93,11 +93,12 @@ class Split:
     branches: list[Branch] = field(default_factory=list)
 
     def add(self, name: str, when: Column, *columns: Column | str, times: Column | None = None) -> Split:
-        """A branch for rows that meet `when`; `times` (an integer column) repeats them."""
+        """A branch for rows that meet `when`, with these columns (all of them by default); `times` (an integer column)
+        repeats its rows."""
         if name in ("", "sink") or any(b.name == name for b in self.branches):
             raise ValueError(f"branch name {name!r} is reserved or taken")
         n = F.when(F.coalesce(when, F.lit(False)), times if times is not None else F.lit(1)).otherwise(F.lit(0))
-        self.branches.append(Branch(name, n, list(columns) or ["*"]))
+        self.branches.append(Branch(name, n, list(columns) or list(self.df.columns)))
         return self
 
     def tagged(self) -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import avro
-from ..operators import assignment, batching, checkpoint, flow, objects, schema_check
+from ..operators import assignment, batching, checkpoint, encoders, flow, objects, schema_check
 from ..operators.chain import SKIP, Pipeline
-from ..session import ship
-from ..sources import datagen
+from ..session import shared_folder, ship
+from ..sources import backfill, datagen, memory
 from .row_queries import events, table
 
 
@@ -278,7 +276,7 @@ def _streamed(spark: SparkSession, sf_dir: str, outcomes: list[str]) -> tuple[Da
     """The events through a stream with two branches and a retrying sink."""
     from ..streaming import runtime
 
-    folder = tempfile.mkdtemp(prefix="millrace-stream-")
+    folder = shared_folder(spark, "stream")
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
     plan = lambda df: Pipeline(df).split(SKIP).add("clicks", F.col("event_type") == "click", "event_id", "value").add("views", F.col("event_type") == "view", "event_id", "user_id")
     clicks = runtime.with_retry(runtime.scripted_writer(runtime.parquet_writer(f"{folder}/clicks"), outcomes), flow.Retry(initial_ms=1, cap_ms=2))
@@ -300,6 +298,49 @@ def stream_replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clicks.groupBy("event_id").agg(F.count("*").alias("times"))
 
 
+def rowbinary_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as bytes of the warehouse's row format; rows whose status does not fit are skipped."""
+    ship(spark)
+    c = schema_check.TargetColumn
+    columns = [c("o_orderkey", "Int64"), c("o_orderstatus", "Nullable(FixedString(2))"), c("tags", "Array(String)")]
+    o = table(spark, sf_dir, "orders").withColumn("tags", F.array("o_orderpriority")).withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 9 == 0, F.lit(None)).when(F.col("o_orderkey") % 10 == 0, F.lit("long")).otherwise(F.col("o_orderstatus")))
+    out = o.select("o_orderkey", F.hex(encoders.encode_rows(o, columns)).alias("row"))
+    return out.where("row is not null")
+
+
+ROWBINARY_SQL = """WITH h AS (SELECT o_orderkey, printf('%016X', o_orderkey) AS k, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey % 10 <> 0)
+SELECT o_orderkey, array_to_string(list_transform(range(7, -1, -1), lambda i: k[2 * i + 1 : 2 * i + 2]), '') || CASE WHEN o_orderkey % 9 = 0 THEN '01' ELSE '00' || hex(encode(s)) || '00' END
+  || '01' || printf('%02X', length(p)) || hex(encode(p)) AS row FROM h"""
+
+
+def stream_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripted lanes through a bounded stream, two records a trigger and lane; offsets end where the lanes end."""
+    ship(spark)
+    from ..streaming import runtime
+
+    spark.dataSource.register(memory.LanesSource)
+    text = memory.script({k: [(f"{k}:{i}".encode(), None) for i in range(3 + k)] for k in range(4)})
+    folder = shared_folder(spark, "lanes")
+    q = spark.readStream.format("lanes").options(lanes=text, step="2").load().writeStream.foreachBatch(lambda df, i: runtime.parquet_writer(f"{folder}/out")(df, i)).option("checkpointLocation", f"{folder}/checkpoint").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return runtime.read_branch(spark, f"{folder}/out").groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("last"))
+
+
+def s3_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as compressed lines, planned into splits and read back with their positions."""
+    ship(spark)
+    folder = shared_folder(spark, "backfill")
+    table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id")).alias("value")).repartition(5).write.option("compression", "gzip").text(folder)
+    entries = [objects.Entry(r["key"], r["size"], r["etag"]) for r in backfill.listing(spark, folder, "*.gz").collect()]  # a planner's listing
+    splits = backfill.plan(entries, max(1, sum(e.size for e in entries) // 2))
+    todo = spark.createDataFrame([(s.ident, i, o.key, 0) for s in splits for i, o in enumerate(s.objects)], "split string, ordinal int, key string, from_record long")
+    rows = backfill.read_splits(spark, todo, folder, pattern="*.gz")
+    return rows.select(F.from_json(F.col("value").cast("string"), "event_id bigint, user_id bigint").alias("e")).select("e.*")
+
+
 _AVRO_ROWS = "FROM orders WHERE o_orderkey % 101 <> 0"
 QUERIES = {
     "batch_seal_rows": (batch_seal_rows, SEAL_ROWS_SQL),
@@ -325,6 +366,9 @@ QUERIES = {
     "ch_type_parse": (ch_type_parse, None),
     "schema_check_full": (schema_check_full, None),
     "distributed_check": (distributed_check, None),
+    "rowbinary_encode": (rowbinary_encode, ROWBINARY_SQL),
+    "s3_backfill": (s3_backfill, "SELECT event_id, user_id FROM events"),
+    "stream_lanes": (stream_lanes, "SELECT CAST(i AS INTEGER) AS partition, CAST(3 + i AS BIGINT) AS n, CAST(2 + i AS BIGINT) AS last FROM range(4) t(i)"),
     "stream_multi_sink": (stream_multi_sink, "SELECT 'clicks' AS branch, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_type = 'click' UNION ALL SELECT 'views', count(*), CAST(sum(event_id) AS BIGINT) FROM events WHERE event_type = 'view'"),
     "stream_replay_idempotent": (stream_replay_idempotent, "SELECT event_id, 1::BIGINT AS times FROM events WHERE event_type = 'click'"),
 }
