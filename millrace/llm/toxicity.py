@@ -5,12 +5,16 @@ and runs of single characters joined. The kernel counts common subsequences of t
 string is at most SPAN, each weighted by DECAY to the power of its span, normalised to 1 for equal units. Characters
 that are no letters only widen gaps, so `i-d.i*ot` is close to `idiot`, and stems are close to their inflections.
 
-Learning: labels mark documents; letter sequences that stand in many places of toxic documents and in hardly any clean one mark
-the units (and so the sentences) that carry the label. Landmarks are chosen among such units and the hardest clean ones, units
-are mapped to the landmarks' span (Nystroem), and a squared-hinge machine is fitted there, with clean words that it
-gets wrong added in two rounds. Since the kernel is an inner product over three-letter subsequences, the machine
-collapses into one weight for each, which scores units without visiting landmarks. A document's margin is the largest
-of its units; a logistic curve placed by the training documents turns it into the score.
+Learning: labels mark documents, so a toxic document is a bag whose best unit is toxic, and all units of a clean one are
+clean. Every labelled document of the sample takes part. At first units are ranked by how strongly their letter
+sequences (3 to 8 letters, however rare) stand for the label; each toxic document sends its best ones. Landmarks are
+chosen among these and clean units, units are mapped to the landmarks' span (Nystroem), a squared-hinge machine is
+fitted there, and its margins choose the documents' best units anew, with clean units that it gets wrong added, in
+four rounds. Labels that no unit shows are left to the soft margin. Units of fewer than three letters have no
+subsequence, and an insult made of several ordinary words is no unit: both teach nothing. Since the kernel is an inner
+product over three-letter subsequences, the machine collapses into one weight for each, which scores units without
+visiting landmarks. A document's margin is the largest of its units; a logistic curve placed by the training documents
+turns it into the score.
 
 Null and empty texts have no unit and get the lowest margin's score. Without training rows of both labels the score is
 0 everywhere. Rows with a null label or id teach nothing; an id with several labels counts as toxic if any says so.
@@ -20,6 +24,7 @@ Repeated rows get equal scores. Texts are read whole.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
@@ -33,7 +38,7 @@ from . import caches
 from .batches import slices
 from .sampling import lowest
 
-WIDTH, SPAN, DECAY, BASE = 24, 7, 0.7, 64
+WIDTH, SPAN, DECAY, BASE, GRAM_BITS = 24, 7, 0.7, 64, 24
 PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
@@ -147,45 +152,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -50, 50)))
 
 
-def indicators(toxic: list[list[str]], clean: list[set[str]], least: float = 0.012, sizes: range = range(4, 11)) -> list[str]:
-    """Letter sequences that carry the label: a greedy cover of the places of words that clean documents hardly hold.
-    Places with the same neighbours (in copies of a document) count once, and a sequence needs places in `least` of the
-    toxic documents beyond those of sequences chosen before; it must be rare among the clean documents."""
-    grams = lambda w: {w[i : i + n] for n in sizes for i in range(len(w) - n + 1)}
-    clean_df: Counter = Counter(chain.from_iterable(clean))
-    rare = 0.002 * len(clean)
-    places: dict[str, set] = {}
-    for words in toxic:
-        for a, w, z in zip(["", *words], words, [*words[1:], ""], strict=False):
-            w = w.strip(".,;:!?\"'()|*&$%#")
-            if 4 <= len(w) <= 40 and clean_df[w] <= rare:
-                places.setdefault(w, set()).add(hash((a, z)))
-    need = max(6, least * len(toxic))
-    size = {w: len(p) for w, p in places.items()}
-    where: dict[str, set] = {}
-    for n in sizes:  # one length after the other, to hold few sequences at a time
-        total: Counter = Counter()
-        for w, k in size.items():
-            for g in {w[i : i + n] for i in range(len(w) - n + 1)}:
-                total[g] += k
-        where |= {g: set() for g, k in total.items() if k >= need and g.isalpha()}
-    for i, (w, p) in enumerate(places.items()):
-        own = [(i, x) for x in p]
-        for g in grams(w) & where.keys():
-            where[g].update(own)
-    seen: Counter = Counter()
-    for w, n in clean_df.items():
-        for g in grams(w) & where.keys():
-            seen[g] += n
-    where = {g: s for g, s in where.items() if seen[g] / max(1, len(clean)) <= 0.05 * len(s) / len(toxic)}
-    out: list[str] = []
-    while where:
-        best = max(sorted(where), key=lambda g: (len(where[g]) - 20 * seen[g] * len(toxic) / max(1, len(clean)), len(g)))
-        if len(where[best]) < need:
-            break
-        out.append(best)
-        done = where.pop(best)
-        where = {g: left for g, s in where.items() if len(left := s - done) >= need}
+def _grams(words: list[str], sizes: range = range(3, 9)) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all letter sequences of the words' windows, and the word that each belongs to."""
+    codes, own = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for g in range(0, len(words), 4096):
+        rows, of = _matrix(words[g : g + 4096])
+        h, letters = np.zeros(rows.shape, np.uint64), np.ones(rows.shape, bool)
+        for n in range(1, sizes.stop):
+            width = WIDTH - n + 1
+            h = h[:, :width] * np.uint64(0x9E3779B97F4A7C15) + rows[:, n - 1 :].astype(np.uint64)
+            letters = letters[:, :width] & (rows[:, n - 1 :] > 0)
+            if n in sizes:
+                r, c = np.nonzero(letters)
+                codes.append((((h[r, c] + np.uint64(n)) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
+                own.append(g + of[r])
+    return np.concatenate(codes), np.concatenate(own)
+
+
+def _places(bags: list[set[str]]) -> np.ndarray:
+    """How many bags hold each letter sequence."""
+    out = np.zeros(1 << GRAM_BITS, np.int32)
+    for bag in bags:
+        out[np.unique(_grams(list(bag))[0])] += 1
+    return out
+
+
+def strengths(words: list[str], bad: list[set[str]], good: list[set[str]]) -> np.ndarray:
+    """For each word that of its strongest letter sequence: the root of the likelihood ratio of its share among toxic texts
+    against its share among clean ones, 0 if the latter is larger. No sequence is too rare to count."""
+    codes, own = _grams(words)
+    t, c = _places(bad)[codes].astype(np.float64), _places(good)[codes].astype(np.float64)
+    m, n = len(bad), len(good)
+    r = (t + c) / (m + n)
+    part = lambda k, of: np.where(k > 0, k * np.log(np.maximum(k, 1) / of / r), 0)
+    rest = lambda k, of: np.where(k < of, (of - k) * np.log(np.maximum(of - k, 1) / of / np.maximum(1 - r, 1e-12)), 0)
+    g = 2 * (part(t, m) + rest(t, m) + part(c, n) + rest(c, n))
+    out = np.zeros(len(words))
+    np.maximum.at(out, own, np.where(t / m > c / n, np.sqrt(np.maximum(g, 0)), 0))
     return out
 
 
@@ -245,31 +248,44 @@ def _spread(words: list[str], n: int) -> list[str]:
     return [words[i] for i in chosen]
 
 
-def build(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int = 3) -> Model:
-    """Learns from toxic and clean texts."""
-    listed, good = [units(t) for t in dict.fromkeys(toxic)], [set(units(t)) for t in dict.fromkeys(clean)]
-    bad = [set(x) for x in listed]
-    signs = indicators(listed, good) if bad and good else []
-    none = Model(np.zeros(BASE**3, np.float32), -1.0, 1.0, -50.0)
-    if not signs:
-        return none
+def _witnesses(bags: list[np.ndarray], value: np.ndarray, share: float, most: int) -> dict[int, float]:
+    """The best units of each bag (those near its best one) and for how many bags each stands."""
+    out: dict[int, float] = {}
+    for bag in bags:
+        v = value[bag]
+        best = bag[v >= v.max() - (1 - share) * abs(v.max())]
+        for i in best[np.argsort(-value[best], kind="stable")][:most].tolist():
+            out[i] = out.get(i, 0.0) + 1 / min(len(best), most)
+    return out
+
+
+def build(toxic: list[str], clean: list[str], landmarks: int = 320, rounds: int = 4) -> Model:
+    """Learns from toxic and clean texts: each toxic text as a bag whose best unit is toxic, each clean one as a bag of clean units."""
+    bad, good = ([set(units(t)) for t in dict.fromkeys(x)] for x in (toxic, clean))
     clean_df = Counter(chain.from_iterable(good))
-    match = re.compile("|".join(map(re.escape, signs)))
-    carried = Counter(w for words in bad for w in words if match.search(w) and w not in clean_df)
-    pos = [w for w, _ in sorted(carried.items(), key=lambda x: (-x[1], x[0]))][:6000]
-    vocabulary = sorted(w for w in clean_df if len(w) >= 3)
+    toxic_df = Counter(chain.from_iterable(bad))
+    candidates = sorted(w for w in toxic_df if _letters(w) >= 3)
+    vocabulary = sorted(w for w in clean_df if _letters(w) >= 3)
+    if not candidates or not good:
+        return Model(np.zeros(BASE**3, np.float32), -1.0, 1.0, -50.0)
+    index = {w: i for i, w in enumerate(candidates)}
+    bags = [np.array(b) for x in bad if (b := sorted(index[w] for w in x if w in index))]
+    value = strengths(candidates, bad, good)
+    prior = value / max(1.0, value.max())
     neg = vocabulary[:: max(1, len(vocabulary) // 6000)]
+    known = set(neg)
     rng = np.random.default_rng(11)
-    gapped = {}  # frequent units with an inserted character, so that the machine learns to bear them
-    for w in [p for p in pos if len(p) >= 5 and p.isalpha()][:150]:
-        for _ in range(2):
-            k = int(rng.integers(1, len(w)))
-            gapped.setdefault(w[:k] + "aeinrstlo"[int(rng.integers(9))] + w[k:], carried[w] / 5)
-    gapped = {w: n for w, n in gapped.items() if w not in clean_df and w not in carried}
-    pos += list(gapped)
-    carried.update(gapped)
-    model = none
+    model = Model(np.zeros(BASE**3, np.float32), -1.0, 1.0, -50.0)
     for _ in range(rounds):
+        carried = {candidates[i]: n for i, n in _witnesses(bags, value, 0.6, max(4, 20_000 // len(bags))).items()}
+        pos = sorted(carried, key=lambda w: (-carried[w], zlib.crc32(w.encode("utf-8", "surrogatepass"))))
+        gapped: dict[str, float] = {}  # frequent units with an inserted character, so that the machine learns to bear them
+        for w in [p for p in pos if len(p) >= 5 and p.isalpha() and carried[p] >= 2][:150]:
+            for _ in range(2):
+                k = int(rng.integers(1, len(w)))
+                gapped.setdefault(w[:k] + "aeinrstlo"[int(rng.integers(9))] + w[k:], carried[w] / 5)
+        carried |= {w: n for w, n in gapped.items() if w not in clean_df and w not in carried}
+        pos = list(carried)
         marks = _spread(pos, landmarks * 2 // 3)
         marks += _spread(neg[::-1][:1500], landmarks - len(marks))
         kernel = _Kernel(marks)
@@ -279,22 +295,25 @@ def build(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int =
         root = vec[:, ok] / np.sqrt(val[ok])
         x = np.concatenate([kernel(pos), kernel(neg)]) @ root
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        often = np.sqrt([carried[p] for p in pos])
-        w, bias = _machine(x, y, np.r_[often / often.sum(), np.full(len(neg), 1 / len(neg))] * 1000)
+        often, seen = np.array([carried[p] for p in pos]) ** 0.5, np.sqrt([clean_df[w] * len(bad) / len(good) for w in neg])
+        w, bias = _machine(x, y, np.r_[often / often.sum(), seen / seen.sum()] * 1000)
         table = np.zeros(BASE**3, np.float32)
         table[kernel.codes] = kernel.dense.T @ (root @ w)
         model = Model(table, bias, 1.0, 0.0)
+        value = model.unit_margins(candidates) + prior
         got = model.unit_margins(vocabulary)
-        hard = [vocabulary[i] for i in np.flatnonzero(got > -0.5).tolist()]
-        known = set(neg)
+        hard = [vocabulary[i] for i in np.argsort(-got, kind="stable").tolist() if got[i] > -0.5]
         hard = [h for h in hard if h not in known][:6000]
-        if not hard:
-            break
+        known.update(hard)
         neg += hard
     model.slope, model.shift = curve(model.margins(toxic), model.margins(clean))
     return model
 
 
+def _letters(word: str) -> int:
+    return sum(map(str.isalpha, word))
+
+
 def curve(toxic: np.ndarray, clean: np.ndarray, slope: float = 5.0) -> tuple[float, float]:
     """A logistic curve with a fixed slope that crosses 1/2 where the classes part best: in the middle of the longest
     stretch of margins with the greatest difference of true and false positive rates. Documents whose label their words

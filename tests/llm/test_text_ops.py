@@ -332,6 +332,18 @@ def test_toxicity_held_out():
     assert (toxicity.build([], ["a"]).scores(["x"]) < 0.01).all()
 
 
+def test_toxicity_learns_rare_and_short_insults():
+    rng = random.Random(8)
+    syllables = ["ka", "to", "mi", "re", "su", "no", "lan", "dor"]
+    text = lambda: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(5, 40))]
+    rare = [f"{a}{b}x{c}" for a in "bghpw" for b in ("zze", "vvi", "qua") for c in ("ub", "eg")] + ["zug"]
+    put = lambda bad: " ".join([*text(), bad, *text()])
+    model = toxicity.build([put(b) for b in rare for _ in range(3)], [" ".join(text()) for _ in range(300)])
+    assert np.mean(model.scores([put(b) for b in rare]) >= 0.5) > 0.9
+    assert model.scores([put("zug")])[0] >= 0.5
+    assert np.mean(model.scores([" ".join(text()) for _ in range(200)]) >= 0.5) < 0.05
+
+
 def test_toxicity_kernel_is_the_subsequence_kernel():
     def brute(a, b):
         def feats(w):
