@@ -1,18 +1,19 @@
 """Near-duplicates of vectors by iterative quantisation and multi-index Hamming tables.
 
 1. Equal vectors of a label form a class; its representative is the smallest id.
-2. From a bounded sample a few rotations are learned: principal directions, then alternating between the nearest
+2. For each length of vectors a few rotations are learned from a bounded sample (lengths other than the commonest with at
+   most BLOCK vectors have one table with one bucket, so all their pairs are compared): principal directions, then alternating between the nearest
    corners of the cube and the orthogonal map that fits them best (iterative quantisation), each from another start.
    A vector's code has one bit for each rotated coordinate, which the rotation keeps balanced.
 3. The codes of all rotations are cut into substrings, the keys of as many tables; their width grows with the logarithm
-   of the number of vectors of the largest label, so that buckets stay small, and the number of tables with it, until pairs at the threshold
+   of the number of vectors of the length's largest label, so that buckets stay small, and the number of tables with it, until pairs at the threshold
    share a key somewhere with the target probability (bits taken as independent, each differing by angle / pi).
 4. Vectors that share a key and a label are compared by the cosine of their original components in double precision, in
    pairs of blocks; a pair counts in the first table where it meets. Each task returns link counts, weighted by class
    sizes, and a spanning forest; components of the forests give the ids.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label, link with
-nothing; so do those of another length than most of the sample. Ids must be unique; rows with a null id are left out.
+nothing. Vectors of different lengths don't link. Ids must be unique; rows with a null id are left out.
 Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -124,36 +125,40 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(label).alias("label"), _numbers(F.col(vector)).alias("vector"))
     rows = rows.withColumn("class", F.when(usable(F.col("vector"), F.col("label")), F.sha2(F.concat_ws(",", F.transform("vector", lambda x: (x + 0.0).cast("string"))), 256)))
-    some = rows.where(F.col("class").isNotNull()).orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").collect()  # bounded
-    if not some:
+    rows = rows.withColumn("d", F.when(F.col("class").isNotNull(), F.size("vector")))
+    usable_rows = rows.where(F.col("class").isNotNull())
+    groups = usable_rows.groupBy("d", "label").count().groupBy("d").agg(F.sum("count").alias("n"), F.max("count").alias("most")).collect()  # one row a length
+    if not groups:
         return rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    lengths = pd.Series([len(r[0]) for r in some]).value_counts()
-    d = int(lengths.index[0])
-    x = np.array([r[0] for r in some if len(r[0]) == d])
-    rows = rows.withColumn("class", F.when(F.size("vector") == d, F.col("class")))
-    classes = rows.where(F.col("class").isNotNull()).groupBy("label", "class").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-    own = rows.where(F.col("class").isNotNull()).select(F.col("key").alias("rep"), "vector", F.col("class").alias("c"))
-    most = rows.where(F.col("class").isNotNull()).groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    width = width_for(most)
-    cuts = spark.sparkContext.broadcast(learn(x, tables_for(threshold, width, target), width))
+    commonest = max(groups, key=lambda g: (g["n"], g["d"]))["d"]
+    learned = {}
+    for g in groups:  # the vectors of a length that fit in one block need no tables; they are all compared
+        if g["n"] > BLOCK or g["d"] == commonest:
+            x = usable_rows.where(F.col("d") == g["d"]).orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").collect()  # bounded
+            width = width_for(g["most"])
+            learned[g["d"]] = learn(np.array([r[0] for r in x]), tables_for(threshold, width, target), width)
+    classes = usable_rows.groupBy("label", "class").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
+    own = usable_rows.select(F.col("key").alias("rep"), "vector", "d", F.col("class").alias("c"))
+    cuts = spark.sparkContext.broadcast(learned)
 
     @F.pandas_udf("array<long>")
     def keys(v: pd.Series) -> pd.Series:
-        m = np.array(v.tolist(), np.float64).reshape(len(v), -1)
-        if not len(m):
-            return pd.Series([], dtype=object)
-        bits = 1 << np.arange(cuts.value[0].shape[1], dtype=np.int64)
-        out = np.stack([(m @ c >= 0) @ bits for c in cuts.value], 1)
-        return pd.Series(list(out))
+        out = pd.Series([[0]] * len(v), index=v.index, dtype=object)
+        for d, at in v.groupby(v.map(len)).groups.items():
+            if d in cuts.value:
+                m = np.array(v[at].tolist(), np.float64)
+                bits = 1 << np.arange(cuts.value[d][0].shape[1], dtype=np.int64)
+                out[at] = pd.Series(list(np.stack([(m @ c >= 0) @ bits for c in cuts.value[d]], 1)), index=at)
+        return out
 
     reps = stage(classes.join(own, "rep").where(F.col("c") == F.col("class")).dropDuplicates(["rep"]).drop("c").withColumn("keys", keys("vector")), "vectors")
-    leaves = reps.select("label", "rep", F.posexplode("keys").alias("table", "bucket"))
-    sizes = leaves.groupBy("label", "table", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("last", ((F.col("n") - 1) / BLOCK).cast("int"))
-    placed = leaves.join(sizes, ["label", "table", "bucket"])
+    leaves = reps.select("label", "d", "rep", F.posexplode("keys").alias("table", "bucket"))
+    sizes = leaves.groupBy("label", "d", "table", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("last", ((F.col("n") - 1) / BLOCK).cast("int"))
+    placed = leaves.join(sizes, ["label", "d", "table", "bucket"])
     # Rows of large buckets are dealt to blocks by hash; a block then holds about BLOCK rows.
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int"))
     pairs = F.expr("transform(sequence(0, last), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x < block, 1, 0)))")
-    tasks = placed.select("label", "table", "bucket", "rep", F.explode(pairs).alias("p")).select("label", "table", "bucket", "p.i", "p.j", "p.side", "rep")
+    tasks = placed.select("label", "d", "table", "bucket", "rep", F.explode(pairs).alias("p")).select("label", "d", "table", "bucket", "p.i", "p.j", "p.side", "rep")
     work = tasks.join(reps.select("rep", "size", "vector", "keys"), "rep")
     found = _bucketed(work, threshold)
     found = stage(found, "links")
@@ -170,8 +175,8 @@ def _bucketed(work: DataFrame, threshold: float) -> DataFrame:
     """Buckets of a table that fall to the same hash share a Python call, which takes them apart again."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_pairs(g, threshold) for _, g in pdf.groupby(["label", "table", "bucket", "i", "j"], sort=False) if len(g) > 1]
+        parts = [_pairs(g, threshold) for _, g in pdf.groupby(["label", "d", "table", "bucket", "i", "j"], sort=False) if len(g) > 1]
         return pd.concat(parts) if parts else pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
 
-    lot = F.pmod(F.xxhash64("label", "table", "bucket", "i", "j"), F.lit(4096)).alias("lot")
+    lot = F.pmod(F.xxhash64("label", "d", "table", "bucket", "i", "j"), F.lit(4096)).alias("lot")
     return work.withColumn("lot", lot).groupBy("lot").applyInPandas(run, "rep long, links long, root long")

@@ -206,6 +206,21 @@ def test_vectors_odd_rows(spark, monkeypatch):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [10, 1500])
+def test_vectors_of_several_lengths(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, d in [(40, 16), (30, 24), (4, 16), (2, 3)]:
+        base = rng.standard_normal(d)
+        rows += [(len(rows) + i, (base + 0.05 * rng.standard_normal(d)).tolist(), i % 2) for i in range(n)]
+    rows += [(1000, rows[50][1], rows[50][2]), (1001, rows[50][1] + [0.0], rows[50][2])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["key"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_vectors(rows)
+    assert got[1000][0] > 10
+
+
 def test_components_of_a_path(spark):
     n = 40
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 101)], "a long, b long")
