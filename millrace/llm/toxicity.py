@@ -327,10 +327,10 @@ def curve(toxic: np.ndarray, clean: np.ndarray, slope: float = 5.0) -> tuple[flo
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int) -> DataFrame:
-    """A bounded sample: of each class the `per_class` labelled ids that hash lowest, texts of at most `max_chars` characters."""
+    """A bounded sample: of each class the `per_class` labelled ids that hash lowest among texts of at most `max_chars` characters."""
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(label) > 0).cast("int").alias("_y"))
-    ranked = lowest(marked, "_y", "_k", per_class)
     known = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    ranked = lowest(marked.join(known, "_k", "left_semi"), "_y", "_k", per_class)
     return known.join(F.broadcast(ranked), "_k").select(F.col("_y").alias("label"), F.col("_t").alias("text"))
 
 

@@ -378,3 +378,10 @@ def test_toxicity_odd_rows(spark):
     model = toxicity.fit(docs, labels)
     assert docs.select(toxicity.score(model, docs)).count() == 3
     assert toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 5, 100).collect()[0]["label"] == 1
+
+
+def test_toxicity_sample_passes_over_long_texts(spark):
+    docs = spark.createDataFrame([(i, "x" * (5 if i % 4 == 0 else 50)) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 4 % 2) for i in range(80)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 8, 10).collect()
+    assert collections.Counter(r["label"] for r in rows) == {0: 8, 1: 8}
