@@ -4,18 +4,24 @@ Words are maximal runs of word characters in lower case; a document is its set o
 words: all of them as a single shingle; a null text or one without a word has no shingle and links with nothing).
 
 1. Documents with equal shingle sets form a class, known by a 128-bit fingerprint; its representative is the smallest id.
-2. Each of TREES trees sorts signatures of DEPTH minhashes as a trie. Prefixes start at full depth and are shortened
-   until a pair at the threshold shares a prefix in some tree with the target probability; representatives that share
-   such a prefix are candidates.
-3. Candidates are grouped into connected components, and components into blocks of bounded text. Each pair of blocks is
-   one task's work: it compares the shingle sets exactly, by counting for groups of shingles that stand in the same
+2. A signature has TREES * DEPTH minhashes of 16 bits, DEPTH for each tree. Representatives with a common prefix in a tree
+   stand below one node of its trie. Prefixes start at full depth; the similarities of the pairs found there (estimated
+   from whole signatures) say how far prefixes must be shortened until pairs like them, down to the least similar ones
+   seen, share one in some tree with the target probability. The trees are then searched again at that depth, where nodes
+   whose representatives are connected already are passed over. The depth at which a pair at the threshold itself meets
+   the target is the last.
+3. Below a node signatures are sorted, neighbours are compared first, and what they leave apart is compared by ever
+   shorter prefixes. Pairs whose estimate lies within five and a half deviations of the threshold connect. A large node is
+   dealt to blocks by hash; representatives outside its largest component then meet all of its blocks.
+4. Connected representatives form groups, and groups blocks of bounded text, dealt by hash. Each pair of blocks is one
+   task's work: it compares the shingle sets exactly, by counting for groups of shingles that stand in the same
    documents, and returns each representative's links (weighted by class sizes) and a spanning forest of them.
-4. Components of the forest give class ids.
+5. Components of the forest give class ids.
 
 Pairs are never emitted. A group of n different texts that all resemble each other still has n * n / 2 comparisons,
 spread over blocks; exact copies cost nothing. Rows with a null id are left out. Repeated rows (equal id and text) each
-get a row and count as copies; ids that stand for different texts are not supported. Extra columns are ignored; an empty
-table gives an empty result.
+get a row and count as copies. An id should stand for one text; of several its least text is compared, and all its rows
+share that one's class. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,17 +34,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import caches
 from .batches import slices
-from .components import components
-from .lineage import stage
+from .components import components, hub_join
+from .lineage import drop, stage
 
 WORD = re.compile(r"\w+")
 TREES, DEPTH, GRAM = 16, 8, 5
-BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 1000
+BLOCK_CHARS, BLOCK_DOCS, BLOCK_NODE, LOT_ROWS, ALL_PAIRS = 3_000_000, 1000, 2048, 20_000, 24
+BANDS = 50
 _MERSENNE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,43 +99,275 @@ def shingles(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray
     return s[first], np.bincount(doc[first], minlength=len(texts))
 
 
-def _parameters(k: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, k, dtype=np.uint64)
+def shortened(seen: dict[int, int], depth: int, threshold: float, target: float) -> int:
+    """The depth that the similarities seen at `depth` ask for: `seen` counts pairs by band (BANDS to 1). The least similar
+    pairs seen must share a prefix with the target probability. Pairs near the threshold, on either side of it, stand for
+    pairs at the threshold; so do fewer pairs than it takes to show the target."""
+    least = min(seen, default=0) / BANDS
+    if least < threshold + 0.04 or sum(seen.values()) * (1 - target) < 1:
+        least = threshold
+    return min(depth, depth_for(least, TREES, DEPTH, target))
 
 
-def prefixes(s: np.ndarray, counts: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """(documents, trees) hashes of the first `depth` minhashes in each tree; documents without shingles must not be here."""
+def minhashes(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(documents, TREES * DEPTH) minhashes of 16 bits; documents without shingles must not be here."""
     starts = np.cumsum(counts) - counts
-    a, b = _parameters(trees * DEPTH)
-    out = np.zeros((len(counts), trees), np.uint64)
-    for t in range(trees):
-        for d in range(depth):
-            k = t * DEPTH + d
-            m = np.minimum.reduceat((s * a[k] + b[k]) >> np.uint64(16), starts)
-            out[:, t] = (out[:, t] ^ (out[:, t] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + m
+    odd = np.random.default_rng(20240229).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty((len(counts), len(odd)), ">u2")
+    for k, a in enumerate(odd):
+        m = np.minimum.reduceat(s * a, starts)
+        m ^= m >> np.uint64(31)
+        out[:, k] = m * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)
     return out
 
 
-def signatures(docs: DataFrame, key: str, text: str, depth: int, gram: int) -> DataFrame:
-    """key, fp (binary; null without shingles), chars and keys: the prefix hash in each tree."""
+def signatures(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
+    """key, fp (binary; null without shingles), chars, grams (number of shingles) and sig (all trees' minhashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches.claim("jaccard")
         for part, texts in slices(batches, limit=2 << 20):
             s, n = shingles(texts, gram)
             has = np.flatnonzero(n)
-            keys: list = [None] * len(texts)
+            sig: list = [None] * len(texts)
             fp: list = [None] * len(texts)
             if len(has):
-                rows = prefixes(s, n[has], depth).view(np.int64)
+                rows = minhashes(s, n[has])
                 ends = np.cumsum(n)
                 for i, r in zip(has.tolist(), rows, strict=True):
-                    keys[i] = r
+                    sig[i] = r.tobytes()
                     fp[i] = xxhash.xxh3_128_digest(s[ends[i] - n[i] : ends[i]].tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["key", "fp", "chars", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(fp, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], ["key", "fp", "chars", "grams", "sig"]
+            )
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fp binary, chars long, grams long, sig binary")
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n points reaches over the edges (a, b)."""
+    out = np.arange(n)
+    while len(a):
+        low = np.minimum(out[a], out[b])
+        before = out.copy()
+        np.minimum.at(out, out[a], low)
+        np.minimum.at(out, out[b], low)
+        out = out[out]
+        if (out == before).all():
+            break
+        apart = out[a] != out[b]
+        a, b = a[apart], b[apart]
+    while (out[out] != out).any():
+        out = out[out]
+    return out
+
+
+class _Node:
+    """Signatures of representatives that may share prefixes, and which of them resemble each other."""
+
+    def __init__(self, pdf: pd.DataFrame, threshold: float) -> None:
+        self.sig = np.frombuffer(b"".join(pdf["sig"]), ">u2").reshape(len(pdf), -1).astype(np.uint16)
+        self.grams, self.rep = pdf["grams"].to_numpy(np.int64), pdf["rep"].to_numpy(np.int64)
+        self.label = np.unique(pdf["group"].to_numpy(np.int64), return_inverse=True)[1]
+        self.threshold = threshold
+        self.cut = threshold - 5.5 * (threshold * (1 - threshold) / self.sig.shape[1]) ** 0.5
+        self.seen = np.zeros(BANDS + 1, np.int64)
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (i, j) that resemble each other; they are noted."""
+        ok = np.flatnonzero(np.minimum(self.grams[i], self.grams[j]) >= self.threshold * np.maximum(self.grams[i], self.grams[j]) - 1e-9)
+        i, j = i[ok], j[ok]
+        same = np.concatenate([(self.sig[i[g : g + 65536]] == self.sig[j[g : g + 65536]]).mean(1) for g in range(0, len(i), 65536)] or [np.zeros(0)])
+        on = same >= self.cut
+        self.seen += np.bincount((same[on] * BANDS).astype(np.int64), minlength=BANDS + 1)
+        self.a.append(i[on])
+        self.b.append(j[on])
+        return i[on], j[on]
+
+    def all_pairs(self, groups: np.ndarray) -> None:
+        """Compares all pairs in each row of (groups, members)."""
+        x, y = np.triu_indices(groups.shape[1], 1)
+        i, j = groups[:, x].ravel(), groups[:, y].ravel()
+        apart = self.label[i] != self.label[j]
+        self.near(i[apart], j[apart])
+
+    def trie(self, rows: np.ndarray, tree: int, floor: int) -> None:
+        """Sorts the signatures of one tree and connects what resembles each other, by prefixes of DEPTH to `floor`."""
+        own = self.sig[rows, tree * DEPTH : (tree + 1) * DEPTH]
+        order = np.lexsort(own.T[::-1])
+        rows, own = rows[order], own[order]
+        label = np.unique(self.label[rows], return_inverse=True)[1]
+
+        def unite(i: np.ndarray, j: np.ndarray) -> None:
+            nonlocal label
+            label = _labels(len(rows) + 1, label[i], label[j])[label]
+
+        at = np.empty(int(rows.max()) + 1, np.int64)
+        at[rows] = np.arange(len(rows))
+        common = np.cumprod(own[1:] == own[:-1], 1).sum(1)  # with the predecessor
+        k = np.flatnonzero((common >= floor) & (label[1:] != label[:-1]))
+        i, j = self.near(rows[k], rows[k + 1])
+        unite(at[i], at[j])
+        known: set[tuple[int, int]] = set()
+        for depth in range(DEPTH, floor - 1, -1):
+            ends = np.r_[np.flatnonzero(common < depth) + 1, len(rows)]
+            for lo, hi in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                if hi - lo < 2 or (lo, hi) in known:
+                    continue
+                known.add((lo, hi))
+                done: set[int] = set()
+                while True:
+                    values, counts = np.unique(label[lo:hi], return_counts=True)
+                    todo = [v for v in values[np.argsort(counts, kind="stable")[:-1]].tolist() if v not in done]
+                    if not todo:
+                        break
+                    mine = lo + np.flatnonzero(label[lo:hi] == todo[0])
+                    rest = lo + np.flatnonzero((label[lo:hi] != todo[0]) & ~np.isin(label[lo:hi], list(done)))
+                    hit = False
+                    step = max(1, 200_000 // max(1, len(rest)))
+                    for g in range(0, len(mine), step):
+                        m = mine[g : g + step]
+                        i, j = self.near(rows[np.repeat(m, len(rest))], rows[np.tile(rest, len(m))])
+                        if len(i):
+                            unite(at[i], at[j])
+                            hit = True
+                            break
+                    if not hit:
+                        done.add(todo[0])
+
+    def edges(self) -> pd.DataFrame:
+        """a and b of a spanning forest; rows without them count pairs by band."""
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.a, self.b))
+        ids, point = np.unique(self.rep, return_inverse=True)
+        top = _labels(len(ids), point[a], point[b])
+        out = np.flatnonzero(top != np.arange(len(ids)))
+        bands = np.flatnonzero(self.seen)
+        none = [None] * len(bands)
+        return pd.concat(
+            [
+                pd.DataFrame({"a": pd.array(ids[out], "Int64"), "b": pd.array(ids[top[out]], "Int64"), "band": 0, "n": 0}),
+                pd.DataFrame({"a": pd.array(none, "Int64"), "b": pd.array(none, "Int64"), "band": bands, "n": self.seen[bands]}),
+            ]
+        )
+
+
+EDGES = "a long, b long, band int, n long"
+
+
+def below(pdf: pd.DataFrame, threshold: float, floor: int) -> pd.DataFrame:
+    """Edges between representatives of the same node and block."""
+    node = _Node(pdf, threshold)
+    order = np.lexsort((pdf["block"], pdf["node"], pdf["tree"]))
+    key = pdf[["tree", "node", "block"]].to_numpy(np.int64)[order]
+    start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+    size = np.diff(np.r_[start, len(order)])
+    for n in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]).tolist():
+        first = start[size == n]
+        step = max(1, 1_000_000 // (n * n))
+        for g in range(0, len(first), step):
+            node.all_pairs(order[first[g : g + step, None] + np.arange(n)])
+    for k in np.flatnonzero(size > ALL_PAIRS).tolist():
+        node.trie(order[start[k] : start[k] + size[k]], int(key[start[k], 0]), floor)
+    return node.edges()
+
+
+def across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Edges between representatives outside the largest component of a node (side 0) and a block of all of them (side 1)."""
+    node = _Node(pdf, threshold)
+    side = pdf["side"].to_numpy(np.int64)
+    for _, own in pdf.groupby(["tree", "node", "i", "j"], sort=False).indices.items():
+        mine, rest = own[side[own] == 0], own[side[own] == 1]
+        step = max(1, 200_000 // max(1, len(rest)))
+        for g in range(0, len(mine), step):
+            i, j = np.repeat(mine[g : g + step], len(rest)), np.tile(rest, len(mine[g : g + step]))
+            apart = node.label[i] != node.label[j]
+            i, j = node.near(i[apart], j[apart])
+            if len(i):  # what is connected now need not meet again
+                node.label = _labels(len(side) + 1, node.label[i], node.label[j])[node.label]
+    return node.edges()
+
+
+def _leaves(reps: DataFrame, depth: int) -> DataFrame:
+    """A row for each tree: the node of that depth below which the representative stands."""
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(F.expr("sig").substr(t * (2 * DEPTH) + 1, F.lit(2 * depth))))
+    return reps.select("rep", "group", F.posexplode(nodes).alias("tree", "node"))
+
+
+def _grouped(reps: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """reps with `group`, the component found so far."""
+    if groups is None:
+        return reps.withColumn("group", F.col("rep"))
+    return reps.join(groups, reps["rep"] == groups["vertex"], "left").withColumn("group", F.coalesce("component", "rep")).drop("vertex", "component")
+
+
+def _nodes(reps: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Leaves, and nodes (staged) whose representatives are not all connected, with their number n."""
+    leaves = _leaves(reps, depth)
+    nodes = leaves.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"))
+    return leaves, stage(nodes.where("lo < hi").select("tree", "node", "n"), "nodes", tidy=False)
+
+
+def _searched(reps: DataFrame, groups: DataFrame | None, depth: int, threshold: float, total: int) -> DataFrame:
+    """Staged edges found at one depth within blocks of nodes."""
+    own = _grouped(reps, groups)
+    leaves, nodes = _nodes(own, depth)
+    rows = nodes.agg(F.sum("n")).first()[0] or 0
+    light = hub_join(leaves, nodes, ["tree", "node"], "n", TREES * total)
+    block = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") / BLOCK_NODE))
+    lot = F.pmod(F.xxhash64("tree", "node", "block"), F.lit(max(1, rows // LOT_ROWS)))
+    work = light.withColumn("block", block).join(reps.select("rep", "grams", "sig"), "rep")
+    work = work.select(lot.alias("lot"), "tree", "node", "block", "rep", "group", "grams", "sig")
+    out = stage(work.groupBy("lot").applyInPandas(lambda p: below(p, threshold, depth), EDGES), "edges")
+    drop(nodes)
+    return out
+
+
+def _searched_across(reps: DataFrame, groups: DataFrame, depth: int, threshold: float, total: int) -> DataFrame | None:
+    """Staged edges between the blocks of large nodes; None where no large node is left in several components."""
+    own = _grouped(reps, groups)
+    leaves, nodes = _nodes(own, depth)
+    large = nodes.where(F.col("n") > BLOCK_NODE)
+    if large.isEmpty():
+        drop(nodes)
+        return None
+    light = stage(hub_join(leaves, large, ["tree", "node"], "n", TREES * total), "leaves", tidy=False)
+    parts = light.groupBy("tree", "node", "group").agg(F.count("*").alias("c"))
+    most = parts.groupBy("tree", "node").agg(F.max_by("group", F.struct("c", "group")).alias("most"), F.sum("c").alias("m"), F.max("c").alias("c"))
+    most = most.select("tree", "node", "most", "m", F.ceil((F.col("m") - F.col("c")) / BLOCK_NODE).cast("int").alias("left"))
+    rows = hub_join(light.drop("n"), most, ["tree", "node"], "m", TREES * total)
+    i, j = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("left")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), F.ceil(F.col("m") / BLOCK_NODE)).cast("int")
+    base = ["tree", "node", "rep", "group"]
+    mine = rows.where("group != most").select(*base, i.alias("i"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK_NODE).cast("int") - 1)).alias("j"), F.lit(0).alias("side"))
+    rest = rows.select(*base, F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
+    work = mine.unionByName(rest).join(reps.select("rep", "grams", "sig"), "rep")
+    out = stage(work.groupBy("tree", "node", "i", "j").applyInPandas(lambda p: across(p, threshold), EDGES), "edges")
+    drop(nodes, light)
+    return out
+
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fp binary, chars long, keys array<long>")
+def forest(reps: DataFrame, threshold: float, target: float) -> DataFrame:
+    """(vertex, component) of representatives (rep, grams, sig) that prefixes bring together, staged; see the module's text."""
+    total, depth, groups, seen = reps.count(), DEPTH, None, {}
+    while True:
+        found = [_searched(reps, groups, depth, threshold, total)]
+        edges = found[0].where("a is not null").select("a", "b")
+        old, groups = groups, components(edges if groups is None else edges.unionByName(groups.select(F.col("vertex").alias("a"), F.col("component").alias("b"))))
+        more = _searched_across(reps, groups, depth, threshold, total)
+        if more is not None:
+            found.append(more)
+            edges = more.where("a is not null").select("a", "b").unionByName(groups.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
+            before, groups = groups, components(edges)
+            drop(before)
+        for f in found:
+            for r in f.where("a is null").groupBy("band").agg(F.sum("n").alias("n")).collect():  # at most BANDS + 1 rows
+                seen[r["band"]] = seen.get(r["band"], 0) + r["n"]
+        drop(*found, *([old] if old is not None else []))
+        again = shortened(seen, depth, threshold, target)
+        if again == depth:
+            return groups
+        depth = again
 
 
 def overlaps(s: np.ndarray, counts: np.ndarray, left: int, chunk: int = 8192) -> np.ndarray:
@@ -205,32 +444,31 @@ def verify(pdf: pd.DataFrame, threshold: float, gram: int) -> pd.DataFrame:
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8, gram: int = GRAM, target: float = 0.9995) -> DataFrame:
     """One row for each document: key, class_id (the smallest id of its component), n_links (other documents it links
     with, copies included), kept (it is that smallest id)."""
-    depth = depth_for(threshold, TREES, DEPTH, target)
     docs = docs.where(F.col(key).isNotNull())
-    rows = stage(signatures(docs, key, text, depth, gram), "signatures")
+    rows = stage(signatures(docs, key, text, gram), "signatures", tidy=False)
     has = rows.where(F.col("fp").isNotNull())
-    classes = has.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-    own = has.select(F.col("fp").alias("f"), "key", "chars", "keys")
-    reps = stage(classes.join(own, (F.col("rep") == F.col("key")) & (F.col("fp") == F.col("f"))).dropDuplicates(["rep"]).select("fp", "rep", "size", "chars", "keys"), "representatives")
-    leaves = reps.select("rep", F.posexplode("keys").alias("tree", "prefix"))
-    low = leaves.groupBy("tree", "prefix").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1")
-    near = leaves.join(low, ["tree", "prefix"]).where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    groups = components(near)
-    light = groups.join(reps.select("rep", "size", "chars"), groups["vertex"] == F.col("rep")).select("component", "rep", "size", "chars")
-    by = Window.partitionBy("component").orderBy("rep")
-    cost = F.greatest(F.col("chars").cast("double") / BLOCK_CHARS, F.lit(1.0 / BLOCK_DOCS))
-    placed = stage(light.withColumn("block", F.floor(F.sum(cost).over(by) - cost).cast("int")), "blocks")
-    ends = placed.groupBy("component").agg(F.max("block").alias("last"))
-    spread = placed.join(ends, "component")
-    pairs = F.expr("transform(sequence(0, last), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x < block, 1, 0)))")
-    tasks = spread.select("component", "rep", "size", F.explode(pairs).alias("p")).select("component", "rep", "size", "p.i", "p.j", "p.side")
-    own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(placed.select("rep"), "rep", "left_semi")
-    work = tasks.join(own.dropDuplicates(["rep"]), "rep").select("component", "i", "j", "side", F.col("rep").alias("key"), "size", "text")
-    found = work.groupBy("component", "i", "j").applyInPandas(lambda p: verify(p, threshold, gram), "key long, links long, root long")
-    found = stage(found, "links")
+    classes = has.groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("size"), F.max("chars").alias("chars"), F.first("grams").alias("grams"), F.first("sig").alias("sig"))
+    reps = stage(classes, "representatives", tidy=False)
+    points = reps.groupBy("rep").agg(F.min_by(F.struct("size", "chars", "grams", "sig"), "fp").alias("x")).select("rep", "x.*")
+    points = stage(points, "points", tidy=False)
+    groups = forest(points.select("rep", "grams", "sig"), threshold, target)
+    light = groups.join(points.select("rep", "size", "chars"), groups["vertex"] == F.col("rep")).select("component", "rep", "size", "chars")
+    light = stage(light, "groups", tidy=False)
+    share = F.greatest(F.sum("chars") / BLOCK_CHARS, F.count("*") / BLOCK_DOCS)
+    sizes = light.groupBy("component").agg(F.count("*").alias("n"), F.ceil(share).cast("int").alias("blocks"))
+    placed = hub_join(light, sizes, ["component"], "n", light.count())
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    pairs = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x < block, 1, 0)))")
+    tasks = placed.select("component", "rep", "size", F.explode(pairs).alias("p")).select("component", "rep", "size", "p.i", "p.j", "p.side")
+    own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(light.select("rep"), "rep", "left_semi")
+    work = tasks.join(own.groupBy("rep").agg(F.min("text").alias("text")), "rep").select("component", "i", "j", "side", F.col("rep").alias("key"), "size", "text")
+    found = stage(work.groupBy("component", "i", "j").applyInPandas(lambda p: verify(p, threshold, gram), "key long, links long, root long"), "links")
     joined = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     known = reps.select("fp", "rep", "size").join(links, F.col("rep") == F.col("key"), "left").drop("key").join(joined, F.col("rep") == F.col("vertex"), "left")
-    known = known.select("fp", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    out = rows.select("key", "fp").join(known, "fp", "left").select("key", F.coalesce("class_id", "key").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = known.select("fp", "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
+    known = stage(known, "classes", tidy=False)
+    drop(reps, points, groups, light, found, joined)
+    out = hub_join(rows.select("key", "fp").where("fp is not null"), known, ["fp"], "size", has.count()).select("key", "class_id", "n_links")
+    out = out.unionByName(rows.where("fp is null").select("key", F.col("key").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
     return out.withColumn("kept", F.col("key") == F.col("class_id"))

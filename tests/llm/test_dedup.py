@@ -148,11 +148,72 @@ def test_jaccard_repeated_rows_and_empty(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+
 def test_forest_depth():
     assert jaccard.depth_for(0.8, 16, 8, 0.9995) == 4
     assert jaccard.depth_for(0.8, 16, 8, 0.5) > 4
 
 
+def test_prefixes_are_shortened_as_far_as_what_was_seen_asks_for():
+    assert jaccard.shortened({47: 9000, 49: 100}, 8, 0.8, 0.9995) == 8  # only pairs of 0.94 and more
+    assert jaccard.shortened({43: 1, 49: 9000}, 8, 0.8, 0.9995) == 6
+    assert jaccard.shortened({40: 1, 49: 9000}, 8, 0.8, 0.9995) == 4  # as far as pairs at the threshold need
+    assert jaccard.shortened({49: 30}, 8, 0.8, 0.9995) == 4  # too few to show it
+    assert jaccard.shortened({}, 8, 0.8, 0.9995) == 4
+    assert jaccard.shortened({41: 50}, 8, 0.8, 0.9) == 8
+
+
+def near_pairs(n):
+    """Pairs of texts with similarities of 0.80 to 0.85: 100 words, a stretch of them replaced at one end."""
+    rng = random.Random(8)
+    docs = {}
+    for i in range(n):
+        w = ["w%d" % rng.randrange(10**6) for _ in range(104)]
+        gone = rng.randint(8, 11)  # 100 shingles, `gone` of them replaced: (100 - gone) / (100 + gone)
+        docs[2 * i], docs[2 * i + 1] = " ".join(w), " ".join(["v%d" % rng.randrange(10**6) for _ in range(gone)] + w[gone:])
+    return docs
+
+
+@pytest.mark.parametrize(("target", "least"), [(0.9, 0.9), (0.9995, 0.998)])
+def test_recall_near_the_threshold(spark, target, least):
+    docs = near_pairs(2500)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r["key"]: r["n_links"] for r in jaccard.join(df, target=target).collect()}
+    assert sum(got.values()) <= len(docs)
+    assert sum(got.values()) / len(docs) >= least
+
+
+@pytest.mark.parametrize(("block", "pairs"), [(2048, 24), (40, 3), (7, 1)])
+def test_nodes_in_blocks(spark, monkeypatch, block, pairs):
+    """Large nodes are dealt to blocks whose representatives outside the largest component meet all of the node."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 16, (6, jaccard.TREES * jaccard.DEPTH)).astype(">u2")
+    sig = base[rng.integers(0, 6, 150)]
+    sig[rng.random(sig.shape) < 0.05] = 7
+    sig[:, :4] = 5  # one node of the first tree
+    rows = pd.DataFrame({"tree": 0, "node": 1, "block": np.arange(150) % -(-150 // block), "rep": np.arange(150), "group": np.arange(150), "grams": 100, "sig": [x.tobytes() for x in sig]})
+    monkeypatch.setattr(jaccard, "ALL_PAIRS", pairs)
+    found = [jaccard.below(rows, 0.8, 4).dropna()]
+    same = lambda e: jaccard._labels(150, e["a"].to_numpy(np.int64), e["b"].to_numpy(np.int64))
+    rows["group"] = same(found[0])
+    most = rows["group"].mode()[0]
+    parts = [rows[rows["group"] != most].assign(side=0), rows.assign(side=1)]
+    found.append(jaccard.across(pd.concat(parts, ignore_index=True).assign(i=0, j=0), 0.8).dropna())
+    label = same(pd.concat(found))
+    alike = (sig[:, None] == sig[None]).mean(2) >= 0.8 - 5.5 * (0.16 / sig.shape[1]) ** 0.5
+    assert (label[:, None] == label[None])[alike].all()
+    assert len(np.unique(label)) == len(np.unique(jaccard._labels(150, *np.nonzero(alike))))
+
+
+def test_hub_join_deals_hot_keys(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 0, id) AS k")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    got = components.hub_join(rows, table, ["k"], "n", 3000).collect()
+    assert len(got) == 3000 and {r["n"] for r in got if r["k"] == 0} == {1000}
+
+
 def test_query_jaccard_on_documents(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r["doc_id"]: (r["class_id"], r["n_links"], r["kept"]) for r in queries.QUERIES["op3_jaccard_forest"](spark, sf).collect()}
