@@ -134,17 +134,19 @@ class Retry:
         return base * (1 - self.jitter * (rng.random() if rng else 0.0))
 
 
-def fold(df: DataFrame, by: str, order: list[str], start: Callable[[], object], step: Callable[[object, pd.Series], str], column: str) -> DataFrame:
-    """Runs a state machine over each key's rows in order and adds its outcome. Rows stream through with constant state."""
-    at = df.columns.index(by)
+def fold(df: DataFrame, by: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], str], column: str) -> DataFrame:
+    """Runs a state machine over each key's rows (dicts) in order and adds its outcome. Rows stream through with constant
+    state; the fold is bound to the order, so a key's rows pass one task."""
+    names = df.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, machine = object(), None
         for pdf in parts:
             out = []
-            for _, row in pdf.iterrows():
-                if row.iloc[at] != now:
-                    now, machine = row.iloc[at], start()
+            for values in zip(*(pdf[c].tolist() for c in names), strict=True):
+                row = dict(zip(names, values, strict=True))
+                if row[by] != now:
+                    now, machine = row[by], start()
                 out.append(step(machine, row))
             yield pdf.assign(**{column: out})
 

@@ -31,7 +31,7 @@ def pack(entries: Iterable[Entry], target: int) -> list[list[Entry]]:
     open_: list[tuple[int, int, list[Entry]]] = []  # number, cost, entries
     made = 0
     for e in entries:
-        cost = max(e.size, target // COST_PART)
+        cost = max(e.size, target // COST_PART, 1)
         at = next((i for i, (_, c, _) in enumerate(open_) if c + cost <= target), None)
         if at is None:
             if len(open_) == OPEN_BINS:

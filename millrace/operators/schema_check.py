@@ -209,15 +209,17 @@ def same_on_all(replicas: list[list[TargetColumn]]) -> list[str]:
     return [f"replica {i}: its columns differ from those of replica 0" for i, r in enumerate(replicas) if r != replicas[0]]
 
 
-def check_layout(shards: list[int], expression: str, cluster: list[int], engine: str) -> list[str]:
+def check_layout(shards: list[int], expression: str, cluster: list[int], engine: str, name: str | None = None) -> list[str]:
     """Whether our shards (weights in order) and sharding expression place rows as the distributed table does. `cluster`
-    has its shards' weights, `engine` its full engine text."""
+    has its shards' weights, `engine` its full engine text; `name`: the cluster that the engine must name."""
     out = []
     if len(shards) != len(cluster):
         out.append(f"{len(shards)} shards here, {len(cluster)} in the cluster")
     elif shards != cluster:
         out.append(f"weights {shards} here, {cluster} in the cluster")
     args = _split(engine[engine.index("(") + 1 : engine.rindex(")")]) if engine.startswith("Distributed(") and engine.rstrip().endswith(")") else None
+    if name is not None and args and args[0].strip().strip("'`\"") != name:
+        out.append(f"cluster {name} here, {args[0].strip().strip(chr(39))} there")
     if not args or len(args) < 4:
         out.append("the table has no sharding expression")
     elif _plain(args[3]) != _plain(expression):

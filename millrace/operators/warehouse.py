@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 
+from ..config import BatchConfig
 from ..streaming.runtime import FatalWriteError, Writer
 from . import encoders
-from .schema_check import TargetColumn
+from .schema_check import TargetColumn, parse_type
 
 #: The server's exception codes that no retry mends, and settings that the sink sets itself.
 FATAL_CODES = frozenset({6, 16, 20, 27, 53, 60, 73, 81, 117, 192, 497, 516})
@@ -35,7 +37,7 @@ def classify(message: str) -> str:
 
 @dataclass
 class WarehouseSink:
-    """Sends each shard's rows of a micro-batch as one insert with a stable token, from the executors."""
+    """Sends each shard's rows of a micro-batch in sealed batches with stable tokens, from the executors."""
 
     table: str
     columns: list[TargetColumn]
@@ -45,6 +47,7 @@ class WarehouseSink:
     run: str = "run"
     form: str = "RowBinary"
     settings: dict = field(default_factory=dict)
+    batch: BatchConfig = field(default_factory=BatchConfig)
 
     def __post_init__(self) -> None:
         taken = [s for s in RESERVED_SETTINGS if s in self.settings]
@@ -54,33 +57,44 @@ class WarehouseSink:
             raise ValueError("a sink needs endpoints and the format RowBinary or Native")
         self.statement = insert_statement(self.table, [c.name for c in self.columns], self.form)
 
+    def bodies(self, rows: Iterable[dict]) -> Iterator[tuple[int, str, bytes]]:
+        """(rows, reason, encoded) of each sealed batch: one is sealed once its rows or bytes reach the limit, so that it may
+        overshoot by a row; the last one is sealed by the end of the input (drain). No more than a batch is held."""
+        writers = [encoders.row_writer(parse_type(c.type)) for c in self.columns]
+        held: list = []
+        size = 0
+        for r in rows:
+            values = [r[c.name] for c in self.columns]
+            encoded = b"".join(w(v) for w, v in zip(writers, values, strict=True))
+            held.append(values if self.form == "Native" else encoded)
+            size += len(encoded)
+            if len(held) >= self.batch.max_rows or size >= self.batch.max_bytes:
+                yield len(held), "rows" if len(held) >= self.batch.max_rows else "bytes", self._body(held)
+                held, size = [], 0
+        if held:
+            yield len(held), "drain", self._body(held)
+
+    def _body(self, held: list) -> bytes:
+        return encoders.block(self.columns, held) if self.form == "Native" else b"".join(held)
+
     def writer(self, shard: str = "shard") -> Writer:
-        """A writer for streaming.runtime: rows carry their shard number."""
+        """A writer for streaming.runtime: rows carry their shard number, and go out in the order of their columns, so that a
+        replayed batch is sealed alike and its inserts have their first tokens."""
         sink = self
 
-        def body(rows: list) -> bytes:
-            values = [[r[c.name] for c in sink.columns] for r in rows]
-            if sink.form == "Native":
-                return encoders.block(sink.columns, values)
-            from .schema_check import parse_type
-
-            writers = [encoders.row_writer(parse_type(c.type)) for c in sink.columns]
-            return b"".join(b"".join(w(v) for w, v in zip(writers, r, strict=True)) for r in values)
-
         def write(df: DataFrame, batch: int) -> None:
             def partition(rows) -> None:
-                by: dict[int, list] = {}
-                for r in rows:
-                    by.setdefault(r[shard], []).append(r.asDict(recursive=True))
-                for s, part in by.items():
-                    settings = sink.settings | {"insert_deduplicate": "1", "wait_end_of_query": "1", "insert_deduplication_token": f"{sink.pipeline}-{sink.run}-{s}-{batch}"}
-                    try:
-                        sink.send(sink.endpoints[s], sink.statement, settings, body(part))
-                    except Exception as e:
-                        if classify(str(e)) == "fatal":
-                            raise FatalWriteError(str(e)) from e
-                        raise
-
-            df.repartition(len(sink.endpoints), shard).sortWithinPartitions(*df.columns[:1]).foreachPartition(partition)
+                for s, part in groupby(rows, key=lambda r: r[shard]):
+                    for n, (_, _, body) in enumerate(sink.bodies(part)):
+                        settings = sink.settings | {"insert_deduplicate": "1", "wait_end_of_query": "1", "insert_deduplication_token": f"{sink.pipeline}-{sink.run}-{s}-{batch}" + (f"-{n}" if n else "")}
+                        try:
+                            sink.send(sink.endpoints[s], sink.statement, settings, body)
+                        except Exception as e:
+                            if classify(str(e)) == "fatal":
+                                raise FatalWriteError(str(e)) from e
+                            raise
+
+            order = [c for c in df.columns if c != shard and df.schema[c].dataType.typeName() not in ("map", "variant")]
+            df.repartition(len(sink.endpoints), shard).sortWithinPartitions(shard, *order).foreachPartition(partition)
 
         return write

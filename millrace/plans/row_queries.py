@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.json_decode import decode_array, decode_ndjson, decode_single, frame_lines, json_message, message_bytes
+from ..functions.json_decode import count_reasons, decode_array, decode_ndjson, decode_single, frame_lines, json_message, message_bytes
 from ..operators.chain import FAIL, SKIP, Pipeline
 from ..operators.envelope import envelope
 from ..operators.routing import distributed_shard, key_hash_shard
@@ -202,6 +202,49 @@ def json_tombstone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("records"))
 
 
+def _malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document for each event; some have something behind them, a value of another type, a key twice or no event_id."""
+    n = F.col("event_id")
+    body = F.concat(F.lit('"event_id":'), n.cast("string"), F.lit(',"event_type":"'), F.col("event_type"), F.lit('"'))
+    value = (
+        F.when(n % 7 == 0, F.concat(F.lit("{"), body, F.lit("} junk")))
+        .when(n % 7 == 1, F.concat(F.lit("{"), body, F.lit('}{"event_id":1}')))
+        .when(n % 7 == 2, F.concat(F.lit("{"), body, F.lit(',"weight":"heavy"}')))
+        .when(n % 7 == 3, F.concat(F.lit("{"), body, F.lit(',"extra":{"a":1,"a":2}}')))
+        .when(n % 7 == 4, F.concat(F.lit('{"event_type":"'), F.col("event_type"), F.lit('"}')))
+        .otherwise(F.concat(F.lit(" {"), body, F.lit(',"weight":null,"extra":[1]}\n')))
+    )
+    return table(spark, sf_dir, "events").select(n, value.alias("value"))
+
+
+MALFORMED_SCHEMA = "struct<event_id: bigint, event_type: string, weight: bigint>"
+
+
+def json_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with content behind them are malformed."""
+    rows = _malformed(spark, sf_dir)
+    out = decode_single(rows, "value", "struct<event_id: bigint, event_type: string>", ["event_type"])
+    return out.select("event_id", F.col("record.event_type").alias("event_type"))
+
+
+def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value of another type than its field's makes the whole document malformed, also where the field is optional."""
+    out = decode_single(_malformed(spark, sf_dir), "value", MALFORMED_SCHEMA, ["event_id"])
+    return out.select("event_id", F.col("record.event_type").alias("event_type"))
+
+
+def json_ndjson_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of payloads of a hundred events each, without those that repeat a key."""
+    lines = _malformed(spark, sf_dir).select((F.col("event_id") / 100).cast("long").alias("payload"), F.struct("event_id", F.regexp_replace("value", "\n", "").alias("line")).alias("l"))
+    rows = lines.groupBy("payload").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("value"))
+    return decode_ndjson(rows, "value", MALFORMED_SCHEMA, ["event_id"], reject_duplicate_keys=True).select("payload", "record.event_id", "record.event_type")
+
+
+def json_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skipped documents by reason."""
+    return count_reasons(_malformed(spark, sf_dir), "value", MALFORMED_SCHEMA, ["event_id"], reject_duplicate_keys=True)
+
+
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload for each conversation: its turns as JSON lines; every seventh turn is malformed."""
     line = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.lit("{bad")).otherwise(F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"role":"'), F.col("role"), F.lit('"}')))
@@ -281,6 +324,10 @@ QUERIES = {
     "route_children_colocated": (route_children, CHILDREN_SQL),
     "json_single": (json_single, f"WITH {EVENTS_SQL} SELECT event_id, CASE WHEN state = 'good' THEN event_type ELSE 'x' END AS event_type, CASE WHEN state = 'good' THEN CAST(props->>'k' AS BIGINT) ELSE -1 END AS k FROM ev WHERE state IN ('good', 'repeated')"),
     "json_dup_keys": (json_dup_keys, f"WITH {EVENTS_SQL} SELECT event_id, event_type FROM ev WHERE state = 'good'"),
+    "json_trailing": (json_trailing, "SELECT event_id, event_type FROM events WHERE event_id % 7 NOT IN (0, 1)"),
+    "json_types": (json_types, "SELECT event_id, event_type FROM events WHERE event_id % 7 IN (3, 5, 6)"),
+    "json_ndjson_dup": (json_ndjson_dup, "SELECT event_id // 100 AS payload, event_id, event_type FROM events WHERE event_id % 7 IN (5, 6)"),
+    "json_reasons": (json_reasons, "SELECT CASE WHEN event_id % 7 < 2 THEN 'syntax' WHEN event_id % 7 = 2 THEN 'type' WHEN event_id % 7 = 3 THEN 'duplicate_key' ELSE 'missing:event_id' END AS reason, count(*) AS n FROM events WHERE event_id % 7 < 5 GROUP BY 1"),
     "json_tombstone": (json_tombstone, f"WITH {EVENTS_SQL} SELECT count(*) AS records FROM ev WHERE state IN ('good', 'repeated') AND event_id % 101 <> 0"),
     "json_ndjson_skip": (json_ndjson_skip, "SELECT conv_id, turn, role FROM conversations WHERE (conv_id + turn) % 7 <> 0"),
     "json_ndjson_fail_atomic": (json_ndjson_atomic, ATOMIC_SQL),

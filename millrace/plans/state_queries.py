@@ -73,11 +73,11 @@ SELECT partition, o AS "offset", action FROM w WHERE action <> 'hold'"""
 
 
 def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scripted run of one replica: outcomes come from the events of partition 0, one each 1000 ms."""
+    """A scripted run of one replica for each partition: outcomes come from its events, one each 1000 ms."""
     ship(spark)
-    rows = events(spark, sf_dir).where("partition = 0").select("partition", "offset", (F.col("event_type") == "error").alias("failed"))
+    rows = events(spark, sf_dir).select("partition", "offset", (F.col("event_type") == "error").alias("failed"))
 
-    def step(b: flow.Breaker, r: pd.Series) -> str:
+    def step(b: flow.Breaker, r: dict) -> str:
         now = int(r["offset"]) * 1000
         picked = b.pick(now)
         if picked is None:
@@ -85,23 +85,22 @@ def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         b.failure(0, now) if r["failed"] else b.success(0)
         return b.state(0)
 
-    return flow.fold(rows, "partition", ["offset"], lambda: flow.Breaker(1, threshold=2, open_for_ms=5000), step, "state").groupBy("state").agg(F.count("*").alias("n"))
+    return flow.fold(rows, "partition", ["offset"], lambda: flow.Breaker(1, threshold=2, open_for_ms=5000), step, "state").groupBy("partition", "state").agg(F.count("*").alias("n"))
 
 
-BREAKER_SQL = """WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS o, event_type = 'error' AS failed FROM events WHERE event_id % 4 = 0),
-w AS (SELECT 0::BIGINT AS o, CASE WHEN failed THEN 1 ELSE 0 END AS failures, NULL::BIGINT AS open_until, 'closed' AS state FROM e WHERE o = 0
-  UNION ALL SELECT e.o,
+BREAKER_SQL = """WITH RECURSIVE e AS (SELECT CAST(event_id % 4 AS INTEGER) AS partition, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS o, event_type = 'error' AS failed FROM events),
+w AS (SELECT partition, 0::BIGINT AS o, CASE WHEN failed THEN 1 ELSE 0 END AS failures, NULL::BIGINT AS open_until, 'closed' AS state FROM e WHERE o = 0
+  UNION ALL SELECT e.partition, e.o,
     CASE WHEN w.open_until IS NOT NULL AND e.o * 1000 < w.open_until THEN w.failures WHEN NOT e.failed THEN 0 ELSE w.failures + 1 END,
     CASE WHEN w.open_until IS NOT NULL AND e.o * 1000 < w.open_until THEN w.open_until WHEN e.failed AND (w.open_until IS NOT NULL OR w.failures + 1 >= 2) THEN e.o * 1000 + 5000 END,
     CASE WHEN w.open_until IS NOT NULL AND e.o * 1000 < w.open_until THEN 'refused' WHEN e.failed AND (w.open_until IS NOT NULL OR w.failures + 1 >= 2) THEN 'open' ELSE 'closed' END
-  FROM w JOIN e ON e.o = w.o + 1)
-SELECT state, count(*) AS n FROM w GROUP BY 1"""
+  FROM w JOIN e ON e.partition = w.partition AND e.o = w.o + 1)
+SELECT partition, state, count(*) AS n FROM w GROUP BY 1, 2"""
 
 
 def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = flow.Retry(jitter=0.0)
-    n = spark.range(1, 21).select(F.col("id").cast("int").alias("attempt"))
-    return n.select("attempt", F.least(F.lit(float(r.cap_ms)), F.lit(float(r.initial_ms)) * F.pow(F.lit(r.factor), F.col("attempt") - 1)).alias("delay_ms"))
+    return spark.createDataFrame([(n, float(r.delay(n))) for n in range(1, 21)], "attempt int, delay_ms double")
 
 
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +121,20 @@ def s3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("job").applyInPandas(run, "split long, objects long, bytes long, split_id string")
 
 
+PACK_SQL = """WITH RECURSIVE l AS (SELECT url || '#' || page_id AS key, length(html)::BIGINT AS size, md5(html) AS etag, row_number() OVER (ORDER BY url || '#' || page_id) AS i FROM pages),
+c AS (SELECT *, greatest(size, 60000 // 16, 1) AS cost FROM l),
+w AS (SELECT 0::BIGINT AS i, 0::BIGINT AS made, 0::BIGINT AS bin, []::STRUCT(n BIGINT, c BIGINT)[] AS bins
+  UNION ALL SELECT i, CASE WHEN spot IS NULL THEN made + 1 ELSE made END, CASE WHEN spot IS NULL THEN made ELSE bins[spot].n END,
+    list_filter(CASE WHEN spot IS NULL THEN list_append(CASE WHEN len(bins) = 10 THEN bins[2:] ELSE bins END, {'n': made, 'c': cost})
+      ELSE list_transform(bins, lambda b: {'n': b.n, 'c': b.c + CASE WHEN b.n = bins[spot].n THEN cost ELSE 0 END}) END, lambda b: b.c < 60000)
+  FROM (SELECT c.i, c.cost, w.made, w.bins, list_position(list_transform(w.bins, lambda b: b.c + c.cost <= 60000), true) AS spot FROM w JOIN c ON c.i = w.i + 1)),
+r AS (SELECT w.bin, l.size, hex(encode(key)) AS k, hex(encode(etag)) AS e, key, etag FROM w JOIN l USING (i))
+SELECT bin AS split, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes,
+  's3-' || rtrim(translate(base64(unhex(sha256(unhex(hex(encode('millrace-split' || chr(10))) || '01000000' || string_agg(
+    printf('%02X%02X000000000000', (length(k) // 2) % 256, length(k) // 512) || k || printf('%02X%02X000000000000', (length(e) // 2) % 256, length(e) // 512) || e, '' ORDER BY key, etag)))[1:32])), '+/', '-_'), '=') AS split_id
+FROM r GROUP BY bin"""
+
+
 def s3_split_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listing(spark, sf_dir).select("page_id", objects.split_id_column(F.col("key"), F.col("etag")).alias("split_id"))
 
@@ -148,27 +161,41 @@ def _fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").cast("string").alias("split"), F.col("p_retailprice").cast("long").alias("weight"), (F.col("p_partkey") % 7).cast("string").alias("owner"))
 
 
+FLEET = [str(i) for i in range(6)]
+FLEET_CAPS = {"0": 3, "3": 0}
+
+
+def _planned(rows: list[tuple[str, int, str]]) -> dict[str, str]:
+    """One job's plan: member 0 takes at most 3 splits, member 3 one, the others 20; every tenth split is withheld."""
+    reserved = {s for s, _, _ in rows if int(s) % 10 == 0}
+    return assignment.desired_assignment(FLEET, {s: (w, o) for s, w, o in rows}, reserved, FLEET_CAPS, 20, seed=0x5EA1)
+
+
 def assign_desired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six members, a seventh is gone: its splits move to the others. A planner's task on light rows by job."""
     ship(spark)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = assignment.desired_assignment([str(i) for i in range(6)], {s: (int(w), o) for s, w, o in zip(pdf["split"], pdf["weight"], pdf["owner"], strict=True)}, default_cap=len(pdf), seed=0x5EA1)
+        got = _planned([(s, int(w), o) for s, w, o in zip(pdf["split"], pdf["weight"], pdf["owner"], strict=True)])
         return pd.DataFrame([(s, m) for s, m in got.items()], columns=["split", "member"])
 
-    rows = _fleet(spark, sf_dir).withColumn("job", F.pmod(F.col("split").cast("long"), F.lit(8)))
+    rows = _fleet(spark, sf_dir).withColumn("job", (F.col("split").cast("long") / 100).cast("long"))
     return rows.groupBy("job").applyInPandas(run, "split string, member string")
 
 
 def claim_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
-    lease = F.when(n % 5 == 0, F.lit(None).cast("string")).when(n % 5 == 1, "me").otherwise("other")
-    kind = assignment.claim_kind(n % 11 != 0, lease, F.lit("me"), n % 3 == 0, F.when(n % 13 == 0, "completed").otherwise("open"), (n % 6).cast("int"), 4)
-    return table(spark, sf_dir, "part").select(n.alias("split"), kind.alias("kind")).where("kind is not null")
+    lease = F.when(n % 5 == 1, "me").when(n % 5 == 2, "other")
+    owner = F.when(n % 3 == 0, "gone")
+    status = F.when(n % 13 == 0, "completed").when(n % 17 == 0, "quarantined").otherwise("runnable")
+    what = assignment.claim(status, lease, F.lit("me"), owner, n % 7 % 2, (n % 6).cast("int"), 4, n % 11 != 0)
+    return table(spark, sf_dir, "part").select(n.alias("split"), what.alias("what")).where("what is not null").select("split", "what.action", "what.kind")
 
 
-CLAIM_SQL = """SELECT p_partkey AS split, kind FROM (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 11 = 0 THEN 'create' WHEN p_partkey % 6 >= 4 THEN 'quarantine'
-WHEN p_partkey % 5 = 0 THEN 'released' WHEN p_partkey % 5 = 1 THEN 'reclaim' WHEN p_partkey % 3 = 0 THEN 'expired' END AS kind FROM part) WHERE kind IS NOT NULL"""
+CLAIM_SQL = """WITH p AS (SELECT p_partkey AS n FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 17 <> 0 AND p_partkey % 5 <> 2),
+k AS (SELECT n, CASE WHEN n % 5 = 1 THEN 'reclaim' WHEN n % 3 = 0 THEN 'expired' WHEN n % 7 IN (0, 2, 4, 6) THEN 'create' ELSE 'released' END AS kind FROM p)
+SELECT n AS split, 'quarantine' AS action, kind FROM k WHERE kind IN ('reclaim', 'expired') AND n % 6 >= 3
+UNION ALL SELECT n, 'claim', kind FROM k WHERE NOT (kind IN ('reclaim', 'expired') AND n % 6 >= 3) AND n % 11 <> 0"""
 
 
 def storefront(spark: SparkSession, count: int = 4000, seed: int = 7) -> DataFrame:
@@ -259,6 +286,18 @@ def ch_type_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "type string, constructor string, nullable boolean, spark string")
 
 
+#: What each type string means to us; a type that is not known or can't be read falls back to Other.
+TYPES_SQL = """SELECT type, constructor, nullable, spark FROM (VALUES ('UInt64', 'UInt64', false, 'decimal(20,0)'), ('Nullable(DateTime64(3, ''UTC''))', 'Nullable', true, 'timestamp'),
+  ('LowCardinality(Nullable(String))', 'LowCardinality', true, 'string'), ('Array(Tuple(a Int32, b Decimal(18, 4)))', 'Array', false, 'array<struct<a:int,b:decimal(18,4)>>'), ('Map(String, Array(UInt8))', 'Map', false, 'map<string,array<smallint>>'),
+  ('Decimal128(6)', 'Decimal', false, 'decimal(38,6)'), ('Enum8(''a'' = 1, ''b('' = 2)', 'Enum8', false, 'string'), ('FixedString(8)', 'FixedString', false, 'string'), ('MultiPolygon', 'MultiPolygon', false, 'array<array<array<struct<x:double,y:double>>>>'),
+  ('AggregateFunction(sum, UInt64)', 'Other', false, NULL), ('DateTime64(9)', 'DateTime64', false, 'bigint'), ('SimpleAggregateFunction(max, Float64)', 'SimpleAggregateFunction', false, 'double'),
+  ('Tuple(Int8, String)', 'Tuple', false, 'struct<_1:tinyint,_2:string>'), ('Nested(a Int8)', 'Other', false, NULL), ('IPv6', 'IPv6', false, 'binary'), ('Array(', 'Other', false, NULL)) t(type, constructor, nullable, spark)"""
+
+SCHEMA_SQL = """SELECT level, finding FROM (VALUES ('error', 'o_orderkey: nullable, but the table has Int64'), ('error', 'o_custkey: bigint does not fit Nullable(String) (string)'),
+  ('error', 'o_totalprice: aggregate states can''t be written; write plain values and aggregate there'), ('error', 'o_orderdate: MATERIALIZED columns can''t be written'), ('error', 'o_orderpriority: not in the table'),
+  ('warning', 'extra: not written and without a default')) t(level, finding)"""
+
+
 def schema_check_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = schema_check.TargetColumn
     target = [c("o_orderkey", "Int64"), c("o_custkey", "Nullable(String)"), c("o_orderstatus", "LowCardinality(Nullable(String))"), c("o_totalprice", "AggregateFunction(sum, Float64)"), c("o_orderdate", "DateTime", "MATERIALIZED"), c("extra", "String"), c("note", "String", "DEFAULT")]
@@ -267,11 +306,14 @@ def schema_check_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distributed_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = schema_check.check_layout([1, 2], "xxHash64(id)", [1, 2], "Distributed('c', 'db', 't', xxHash64(`id`))")
-    bad = schema_check.check_layout([1, 1, 1], "xxHash64(id)", [1, 2], "Distributed('c', 'db', 't', rand())")
+    good = schema_check.check_layout([1, 2], "xxHash64(id)", [1, 2], "Distributed('c', 'db', 't', xxHash64(`id`))", "c")
+    bad = schema_check.check_layout([1, 1, 1], "xxHash64(id)", [1, 2], "Distributed('other', 'db', 't', rand())", "c")
     return spark.createDataFrame([("good", len(good), ""), *[("bad", 1, x) for x in bad]], "layout string, n int, finding string")
 
 
+DISTRIBUTED_SQL = """SELECT * FROM (VALUES ('good', 0, ''), ('bad', 1, '3 shards here, 2 in the cluster'), ('bad', 1, 'cluster c here, other there'), ('bad', 1, 'sharding by xxHash64(id) here, by rand() there')) t(layout, n, finding)"""
+
+
 def _streamed(spark: SparkSession, sf_dir: str, outcomes: list[str]) -> tuple[DataFrame, DataFrame]:
     """The events through a stream with two branches and a retrying sink."""
     from ..streaming import runtime
@@ -350,7 +392,7 @@ QUERIES = {
     "bp_transitions": (bp_transitions, BP_SQL),
     "breaker_states": (breaker_states, BREAKER_SQL),
     "backoff_schedule": (backoff_schedule, "SELECT CAST(i AS INTEGER) AS attempt, least(10000.0::DOUBLE, 100.0::DOUBLE * pow(2.0::DOUBLE, i - 1)) AS delay_ms FROM range(1, 21) t(i)"),
-    "s3_pack": (s3_pack, None),
+    "s3_pack": (s3_pack, PACK_SQL),
     "s3_split_id": (s3_split_id, SPLIT_ID_SQL),
     "s3_offset_roundtrip": (s3_offset_roundtrip, "SELECT l_orderkey, l_linenumber, l_linenumber::BIGINT * 1099511627776 + l_orderkey AS position, l_linenumber::BIGINT AS ordinal, l_orderkey AS record FROM lineitem"),
     "s3_codec": (s3_codec, "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'gzip' WHEN 1 THEN 'gzip' WHEN 4 THEN 'none' ELSE 'zstd' END AS codec FROM pages"),
@@ -363,9 +405,9 @@ QUERIES = {
     "avro_wire_parse": (avro_wire_parse, "SELECT o_orderkey, CASE WHEN o_orderkey % 101 <> 0 THEN 7::BIGINT ELSE -1 END AS schema_id FROM orders"),
     "avro_decode": (avro_decode, f"SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderstatus END AS o_orderstatus, CAST(o_custkey % 1000 AS INTEGER) AS quantity {_AVRO_ROWS}"),
     "avro_decode_evolve": (avro_decode_evolve, f"SELECT CAST(o_custkey % 1000 AS BIGINT) AS quantity, o_orderkey, 'USD' AS currency {_AVRO_ROWS}"),
-    "ch_type_parse": (ch_type_parse, None),
-    "schema_check_full": (schema_check_full, None),
-    "distributed_check": (distributed_check, None),
+    "ch_type_parse": (ch_type_parse, TYPES_SQL),
+    "schema_check_full": (schema_check_full, SCHEMA_SQL),
+    "distributed_check": (distributed_check, DISTRIBUTED_SQL),
     "rowbinary_encode": (rowbinary_encode, ROWBINARY_SQL),
     "s3_backfill": (s3_backfill, "SELECT event_id, user_id FROM events"),
     "stream_lanes": (stream_lanes, "SELECT CAST(i AS INTEGER) AS partition, CAST(3 + i AS BIGINT) AS n, CAST(2 + i AS BIGINT) AS last FROM range(4) t(i)"),

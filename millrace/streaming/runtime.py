@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import random
 import re
 import time
 from collections.abc import Callable
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chain import Split
-from ..operators.flow import Retry
+from ..operators.flow import Breaker, Retry
 
 Writer = Callable[[DataFrame, int], None]
 
@@ -53,6 +55,33 @@ def table_writer(path: str, shard: str | None = None) -> Writer:
     return write
 
 
+def jsonl_writer(path: str) -> Writer:
+    """One JSON object a line; a replayed batch overwrites its own folder."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").json(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def with_breaker(writers: list[Writer], breaker: Breaker, clock: Callable[[], float] = time.monotonic) -> Writer:
+    """Writes through the next replica that its breaker lets through; raises if none may be tried."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        now = int(clock() * 1000)
+        picked = breaker.pick(now)
+        if picked is None:
+            raise OSError("no replica may be tried now")
+        try:
+            writers[picked[0]](df, batch)
+        except Exception:
+            breaker.failure(picked[0], int(clock() * 1000))
+            raise
+        breaker.success(picked[0])
+
+    return write
+
+
 def capture_writer(into: list) -> Writer:
     """For tests: keeps (batch, rows) in memory."""
     return lambda df, batch: into.append((batch, [tuple(r) for r in df.collect()]))
@@ -73,17 +102,25 @@ def scripted_writer(inner: Writer, outcomes: list[str]) -> Writer:
     return write
 
 
-def with_retry(writer: Writer, retry: Retry, sleep: Callable[[float], None] = time.sleep) -> Writer:
+def is_fatal(error: BaseException) -> bool:
+    """Whether no retry can mend an error. One raised on an executor reaches the driver as text, in which its class stands."""
+    return isinstance(error, FatalWriteError) or FatalWriteError.__name__ in str(error)
+
+
+def with_retry(writer: Writer, retry: Retry, sleep: Callable[[float], None] = time.sleep, rng: random.Random | None = None) -> Writer:
+    """Repeats a write that may be mended; the waits are shortened by jitter, a fatal error ends it at once."""
+    rng = rng or random.Random()
+
     def write(df: DataFrame, batch: int) -> None:
         n = 0
         while True:
             try:
                 return writer(df, batch)
-            except FatalWriteError:
-                raise
-            except Exception:
+            except Exception as e:
+                if is_fatal(e):
+                    raise
                 n += 1
-                wait = retry.delay(n)
+                wait = retry.delay(n, rng)
                 if wait is None:
                     raise
                 sleep(wait / 1000)
@@ -104,6 +141,33 @@ def run_split(source: DataFrame, plan: Callable[[DataFrame], Split], writers: di
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)).start()
 
 
+def behind(progress: dict) -> list[str]:
+    """The sources of a progress report whose last batch ended before what they had to offer."""
+    out = []
+    for s in progress.get("sources", []):
+        end, latest = s.get("endOffset"), s.get("latestOffset")
+        if latest is not None and _offset(end) != _offset(latest):
+            out.append(f"{s.get('description', 'source')} ended at {end}, {latest} offered")
+    return out
+
+
+def _offset(x: object) -> object:
+    try:
+        return json.loads(x) if isinstance(x, str) else x
+    except ValueError:
+        return x
+
+
+def drain(query: StreamingQuery, deadline_s: float, poll: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> RunReport:
+    """Lets the batch at work end, until the deadline, then stops. What it abandons is told in the report."""
+    end = clock() + deadline_s
+    while query.isActive and query.status["isTriggerActive"] and clock() < end:
+        poll(0.05)
+    late = query.isActive and query.status["isTriggerActive"]
+    query.stop()
+    return RunReport(not late, "the batch at work was abandoned at the deadline" if late else "", *_progress(query))
+
+
 def finish(query: StreamingQuery, timeout: float | None = None) -> RunReport:
     """Waits for the end and reports. A drained run is complete only if its last batch reached the source's end."""
     try:
@@ -113,7 +177,9 @@ def finish(query: StreamingQuery, timeout: float | None = None) -> RunReport:
     if done is False:
         query.stop()
         return RunReport(False, "it did not end in time", *_progress(query))
-    return RunReport(True, "", *_progress(query))
+    last = query.lastProgress
+    left = behind(json.loads(last.json) if last is not None else {})
+    return RunReport(not left, "; ".join(left), *_progress(query))
 
 
 def _progress(query: StreamingQuery) -> tuple[int, int, list[str]]:

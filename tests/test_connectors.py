@@ -12,13 +12,16 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.config import ConfigError
+from millrace.config import BatchConfig, ConfigError
 from millrace.operators import acks, encoders, warehouse
+from millrace.operators.chain import Pipeline
+from millrace.operators.flow import Breaker, Retry
 from millrace.operators.objects import RECORD_BITS, Entry
 from millrace.operators.schema_check import TargetColumn as C
 from millrace.operators.schema_check import parse_type
 from millrace.operators.store import Conflict, MemoryStore
 from millrace.sources import backfill, brokers, memory
+from millrace.streaming import runtime
 from millrace.streaming.runtime import FatalWriteError
 
 
@@ -221,3 +224,75 @@ def test_lanes(spark, tmp_path):
     finally:
         q.stop()
     assert sum(got) == 15 and max(got) <= 6
+
+
+def test_warehouse_seals_batches(spark, tmp_path):
+    out = str(tmp_path)
+
+    def send(endpoint, statement, settings, body):
+        with open(f"{out}/{settings['insert_deduplication_token']}", "wb") as f:
+            f.write(body)
+
+    df = spark.createDataFrame([(i, "x" * (i % 5), 0) for i in range(23)], "id int, s string, shard int")
+    sink = warehouse.WarehouseSink("t", [C("id", "UInt8"), C("s", "String")], ["a"], send, batch=BatchConfig(max_rows=6, max_bytes=18))
+    sink.writer()(df, 7)
+    bodies = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    rows = [{"id": i, "s": "x" * (i % 5)} for i in range(23)]
+    sealed = list(sink.bodies(rows))
+    assert [len(b) for _, _, b in sealed] == [len(bodies["pipeline-run-0-7" + (f"-{n}" if n else "")]) for n in range(len(sealed))]
+    assert {r for _, r, _ in sealed} >= {"bytes", "drain"} and sum(n for n, _, _ in sealed) == 23
+    assert [(n, r) for n, r, _ in warehouse.WarehouseSink("t", [C("id", "UInt8"), C("s", "String")], ["a"], send, batch=BatchConfig(max_rows=10)).bodies(rows)] == [(10, "rows"), (10, "rows"), (3, "drain")]
+
+
+def test_fatal_answers_end_a_stream_at_the_first_attempt(spark, tmp_path):
+    tries = str(tmp_path / "tries")
+
+    def refuse(endpoint, statement, settings, body):
+        with open(tries, "a") as f:
+            f.write("x")
+        raise OSError("Code: 60. DB::Exception: no such table")
+
+    sink = warehouse.WarehouseSink("t", [C("event_id", "Int64")], ["a"], refuse, batch=BatchConfig(max_bytes=100))
+    spark.range(50).selectExpr("id AS event_id", "0 AS shard").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("event_id long, shard int").parquet(f"{tmp_path}/in")
+    plan = lambda df: Pipeline(df).split("skip").add("all", F.lit(True))
+    report = runtime.finish(runtime.run_split(source, plan, {"all": runtime.with_retry(sink.writer(), Retry(initial_ms=1, cap_ms=1, attempts=4))}, f"{tmp_path}/c"))
+    assert not report.completed and report.exit_code == 1
+    assert open(tries).read() == "x"
+
+
+def test_jitter_shortens_waits():
+    waits, calls = [], []
+
+    def fails(df, batch):
+        calls.append(batch)
+        if len(calls) < 4:
+            raise OSError("busy")
+
+    runtime.with_retry(fails, Retry(initial_ms=1000, jitter=0.5), waits.append, random.Random(1))(None, 0)
+    assert len(waits) == 3 and all(0.5 * b <= w <= b for w, b in zip(waits, [1, 2, 4])) and waits != [1, 2, 4]
+
+
+def test_breaker_moves_to_the_next_replica():
+    seen, now = [], [0.0]
+
+    def replica(i):
+        def write(df, batch):
+            seen.append(i)
+            if i == 0:
+                raise OSError("down")
+
+        return write
+
+    w = runtime.with_breaker([replica(0), replica(1)], Breaker(2, threshold=1), lambda: now[0])
+    with pytest.raises(OSError):
+        w(None, 0)
+    for _ in range(3):
+        w(None, 0)
+    assert seen == [0, 1, 1, 1]
+
+
+def test_a_run_that_ends_early_is_not_complete():
+    assert runtime.behind({"sources": [{"description": "s", "endOffset": {"0": 5}, "latestOffset": {"0": 5}}]}) == []
+    assert runtime.behind({"sources": [{"description": "s", "endOffset": '{"0": 5}', "latestOffset": {"0": 9}}]})
+    assert runtime.behind({"sources": [{"description": "s", "endOffset": None, "latestOffset": None}]}) == []

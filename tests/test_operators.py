@@ -223,9 +223,105 @@ def test_assignment(splits, cap):
     count = {m: sum(v == m for v in got.values()) for m in "abc"}
     assert max(count.values(), default=0) <= cap and len(got) == min(len(table), 3 * cap)
     if cap >= len(table):
-        load = {m: sum(table[s][0] for s, v in got.items() if v == m) for m in "abc"}
+        weight = {s: max(1, w) for s, (w, _) in table.items()}
+        load = {m: sum(weight[s] for s, v in got.items() if v == m) for m in "abc"}
         for s, m in got.items():
-            assert not any(load[m] > load[o] + table[s][0] and table[s][0] for o in "abc")
+            assert not any(load[m] > load[o] + weight[s] for o in "abc")
+
+
+def slow_assignment(members, splits, reserved, caps, default, seed):
+    """The same plan by looking at every move."""
+    names = sorted(members, key=lambda m: (assignment.tie(seed, m), m))
+    room = {m: max(1, caps.get(m, default)) for m in names}
+    w = {s: max(1, x[0]) for s, x in splits.items() if s not in reserved}
+    owner = {}
+    load = lambda m: sum(w[s] for s, o in owner.items() if o == m)
+    free = lambda m: sum(o == m for o in owner.values()) < room[m]
+    for s in sorted(w, key=lambda s: (-w[s], s)):
+        if splits[s][1] in names and free(splits[s][1]):
+            owner[s] = splits[s][1]
+    for s in sorted(w, key=lambda s: (-w[s], s)):
+        able = [m for m in names if free(m)]
+        if s not in owner and able:
+            owner[s] = min(able, key=load)
+    while True:
+        sums = {m: load(m) for m in names}
+        moves = []
+        for a in names:
+            able = [m for m in names if m != a and free(m)]
+            if able:
+                b = min(able, key=sums.get)
+                moves += [(-2 * w[s] * (sums[a] - sums[b] - w[s]), names.index(a), s, b) for s, o in owner.items() if o == a and sums[a] > sums[b] + w[s]]
+        if not moves:
+            return owner
+        _, _, s, b = min(moves)
+        owner[s] = b
+
+
+@settings(deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["a", "b", "c", "gone", None])), max_size=25), st.integers(0, 12), st.integers(0, 9), st.sets(st.integers(0, 25), max_size=5))
+def test_assignment_equals_slow_one(splits, cap, seed, out):
+    table = {f"s{i:02}": x for i, x in enumerate(splits)}
+    reserved = {f"s{i:02}" for i in out}
+    got = assignment.desired_assignment(["a", "b", "c"], table, reserved, {"b": cap}, 9, seed)
+    assert got == slow_assignment(["a", "b", "c"], table, reserved, {"b": cap}, 9, seed)
+    assert not reserved & set(got)
+
+
+def test_assignment_floors():
+    assert assignment.desired_assignment(["a"], {"s": (0, None), "t": (0, None)}, caps={"a": 0}) == {"s": "a"}
+    assert assignment.desired_assignment([], {"s": (1, None)}) == {}
+
+
+def test_assign_query_equals_slow_plans(spark, sf):
+    from millrace.plans import state_queries as q
+
+    jobs = {}
+    for r in q._fleet(spark, sf).collect():
+        jobs.setdefault(int(r["split"]) // 100, {})[r["split"]] = (r["weight"], r["owner"])
+    want = {}
+    for splits in jobs.values():
+        want |= slow_assignment(q.FLEET, splits, {s for s in splits if int(s) % 10 == 0}, q.FLEET_CAPS, 20, 0x5EA1)
+    assert {r["split"]: r["member"] for r in q.assign_desired(spark, sf).collect()} == want
+
+
+def test_claims(spark):
+    rows = [
+        ("never owned", "runnable", None, None, 0, 5, True, ("claim", "create")),
+        ("given back, attempts don't matter", "runnable", None, None, 3, 5, True, ("claim", "released")),
+        ("another's live lease", "runnable", "other", "other", 1, 9, True, None),
+        ("mine", "runnable", "me", "me", 1, 2, True, ("claim", "reclaim")),
+        ("mine, for the last time", "runnable", "me", "me", 1, 3, True, ("quarantine", "reclaim")),
+        ("left behind", "runnable", None, "gone", 1, 0, True, ("claim", "expired")),
+        ("left behind too often", "runnable", None, "gone", 1, 3, False, ("quarantine", "expired")),
+        ("not described yet", "runnable", None, "gone", 1, 0, False, None),
+        ("done", "completed", None, None, 0, 0, True, None),
+    ]
+    df = spark.createDataFrame([r[:7] for r in rows], "name string, status string, lease string, owner string, epoch long, attempts int, known boolean")
+    c = F.col
+    got = df.select("name", assignment.claim(c("status"), c("lease"), F.lit("me"), c("owner"), c("epoch"), c("attempts"), 4, c("known")).alias("x")).collect()
+    assert {r["name"]: r["x"] and tuple(r["x"]) for r in got} == {r[0]: r[7] for r in rows}
+
+
+def test_packing_counts_empty_objects():
+    assert [len(s) for s in objects.pack([objects.Entry(str(i), 0) for i in range(40)], 8)] == [8] * 5
+
+
+def test_json_strictness(spark):
+    schema = "struct<a: bigint, b: string, c: struct<d: double>>"
+    rows = ['{"a":1}', '{"a":1} junk', '{"a":1}{"a":2}', '{"a":1},{"a":2}', '{"a":1}] [', '{"a":"1"}', '{"a":1.5}', '{"a":1,"b":5}', '{"a":1,"c":{"d":"x"}}', '{"a":1,"c":{"d":2},"z":[{}]}', ' {"a":1}\n ', '{"a":1,"c":{"z":1,"z":2}}', "[1]", '"x"', '{"b":null}']
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v string")
+    ids = lambda d: sorted(r["i"] for r in d.collect())
+    assert ids(decode_single(df, "v", schema, ["a"])) == [0, 7, 9, 10, 11]
+    assert ids(decode_single(df, "v", schema, ["a"], reject_duplicate_keys=True)) == [0, 7, 9, 10]
+    assert decode_single(df, "v", schema, ["a"]).schema["record"].dataType.fieldNames() == ["a", "b", "c"]
+    lines = spark.createDataFrame([(0, '{"a":1}\n{"a":1,"a":2}\n{"a":1} x'), (1, '{"a":3}')], "i int, v string")
+    assert ids(decode_ndjson(lines, "v", schema, ["a"])) == [0, 0, 1]
+    assert ids(decode_ndjson(lines, "v", schema, ["a"], reject_duplicate_keys=True)) == [0, 1]
+    assert ids(decode_ndjson(lines, "v", schema, ["a"], "atomic")) == [1]
+    arrays = spark.createDataFrame([(0, '[{"a":1},{"a":1,"a":2}]'), (1, '[{"a":3}] [{"a":4}]'), (2, '[{"a":"x"}]'), (3, '[{"a":5}]')], "i int, v string")
+    assert ids(decode_array(arrays, "v", schema, ["a"])) == [0, 0, 3]
+    assert ids(decode_array(arrays, "v", schema, ["a"], reject_duplicate_keys=True)) == [3]
 
 
 ORDER = {"type": "record", "name": "R", "fields": [{"name": "i", "type": "int"}, {"name": "l", "type": "long"}, {"name": "f", "type": "float"}, {"name": "d", "type": "double"}, {"name": "s", "type": "string"}, {"name": "b", "type": "bytes"}, {"name": "t", "type": "boolean"}, {"name": "u", "type": ["null", "string", "long"]}, {"name": "a", "type": {"type": "array", "items": "long"}}, {"name": "m", "type": {"type": "map", "values": "int"}}, {"name": "e", "type": {"type": "enum", "name": "E", "symbols": ["X", "Y"]}}, {"name": "x", "type": {"type": "fixed", "name": "F", "size": 2}}]}
