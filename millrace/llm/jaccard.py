@@ -37,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import caches
+from . import caches, search
 from .batches import slices
 from .components import components, hub_join
 from .lineage import drop, stage
 
 WORD = re.compile(r"\w+")
 TREES, DEPTH, GRAM = 16, 8, 5
-BLOCK_CHARS, BLOCK_DOCS, BLOCK_NODE, LOT_ROWS, ALL_PAIRS = 3_000_000, 1000, 2048, 20_000, 24
+BLOCK_CHARS, BLOCK_DOCS, ALL_PAIRS = 3_000_000, 1000, 24
 BANDS = 50
 _MERSENNE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -144,24 +144,6 @@ def signatures(docs: DataFrame, key: str, text: str, gram: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, fp binary, chars long, grams long, sig binary")
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n points reaches over the edges (a, b)."""
-    out = np.arange(n)
-    while len(a):
-        low = np.minimum(out[a], out[b])
-        before = out.copy()
-        np.minimum.at(out, out[a], low)
-        np.minimum.at(out, out[b], low)
-        out = out[out]
-        if (out == before).all():
-            break
-        apart = out[a] != out[b]
-        a, b = a[apart], b[apart]
-    while (out[out] != out).any():
-        out = out[out]
-    return out
-
-
 class _Node:
     """Signatures of representatives that may share prefixes, and which of them resemble each other."""
 
@@ -202,7 +184,7 @@ class _Node:
 
         def unite(i: np.ndarray, j: np.ndarray) -> None:
             nonlocal label
-            label = _labels(len(rows) + 1, label[i], label[j])[label]
+            label = search.labels(len(rows) + 1, label[i], label[j])[label]
 
         at = np.empty(int(rows.max()) + 1, np.int64)
         at[rows] = np.arange(len(rows))
@@ -238,22 +220,8 @@ class _Node:
                         done.add(todo[0])
 
     def edges(self) -> pd.DataFrame:
-        """a and b of a spanning forest; rows without them count pairs by band."""
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.a, self.b))
-        ids, point = np.unique(self.rep, return_inverse=True)
-        top = _labels(len(ids), point[a], point[b])
-        out = np.flatnonzero(top != np.arange(len(ids)))
-        bands = np.flatnonzero(self.seen)
-        none = [None] * len(bands)
-        return pd.concat(
-            [
-                pd.DataFrame({"a": pd.array(ids[out], "Int64"), "b": pd.array(ids[top[out]], "Int64"), "band": 0, "n": 0}),
-                pd.DataFrame({"a": pd.array(none, "Int64"), "b": pd.array(none, "Int64"), "band": bands, "n": self.seen[bands]}),
-            ]
-        )
-
-
-EDGES = "a long, b long, band int, n long"
+        return search.spanning(self.rep, a, b, self.seen)
 
 
 def below(pdf: pd.DataFrame, threshold: float, floor: int) -> pd.DataFrame:
@@ -285,7 +253,7 @@ def across(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             apart = node.label[i] != node.label[j]
             i, j = node.near(i[apart], j[apart])
             if len(i):  # what is connected now need not meet again
-                node.label = _labels(len(side) + 1, node.label[i], node.label[j])[node.label]
+                node.label = search.labels(len(side) + 1, node.label[i], node.label[j])[node.label]
     return node.edges()
 
 
@@ -295,75 +263,17 @@ def _leaves(reps: DataFrame, depth: int) -> DataFrame:
     return reps.select("rep", "group", F.posexplode(nodes).alias("tree", "node"))
 
 
-def _grouped(reps: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """reps with `group`, the component found so far."""
-    if groups is None:
-        return reps.withColumn("group", F.col("rep"))
-    return reps.join(groups, reps["rep"] == groups["vertex"], "left").withColumn("group", F.coalesce("component", "rep")).drop("vertex", "component")
-
-
-def _nodes(reps: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Leaves, and nodes (staged) whose representatives are not all connected, with their number n."""
-    leaves = _leaves(reps, depth)
-    nodes = leaves.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi"))
-    return leaves, stage(nodes.where("lo < hi").select("tree", "node", "n"), "nodes", tidy=False)
-
-
-def _searched(reps: DataFrame, groups: DataFrame | None, depth: int, threshold: float, total: int) -> DataFrame:
-    """Staged edges found at one depth within blocks of nodes."""
-    own = _grouped(reps, groups)
-    leaves, nodes = _nodes(own, depth)
-    rows = nodes.agg(F.sum("n")).first()[0] or 0
-    light = hub_join(leaves, nodes, ["tree", "node"], "n", TREES * total)
-    block = F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("n") / BLOCK_NODE))
-    lot = F.pmod(F.xxhash64("tree", "node", "block"), F.lit(max(1, rows // LOT_ROWS)))
-    work = light.withColumn("block", block).join(reps.select("rep", "grams", "sig"), "rep")
-    work = work.select(lot.alias("lot"), "tree", "node", "block", "rep", "group", "grams", "sig")
-    out = stage(work.groupBy("lot").applyInPandas(lambda p: below(p, threshold, depth), EDGES), "edges")
-    drop(nodes)
-    return out
-
-
-def _searched_across(reps: DataFrame, groups: DataFrame, depth: int, threshold: float, total: int) -> DataFrame | None:
-    """Staged edges between the blocks of large nodes; None where no large node is left in several components."""
-    own = _grouped(reps, groups)
-    leaves, nodes = _nodes(own, depth)
-    large = nodes.where(F.col("n") > BLOCK_NODE)
-    if large.isEmpty():
-        drop(nodes)
-        return None
-    light = stage(hub_join(leaves, large, ["tree", "node"], "n", TREES * total), "leaves", tidy=False)
-    parts = light.groupBy("tree", "node", "group").agg(F.count("*").alias("c"))
-    most = parts.groupBy("tree", "node").agg(F.max_by("group", F.struct("c", "group")).alias("most"), F.sum("c").alias("m"), F.max("c").alias("c"))
-    most = most.select("tree", "node", "most", "m", F.ceil((F.col("m") - F.col("c")) / BLOCK_NODE).cast("int").alias("left"))
-    rows = hub_join(light.drop("n"), most, ["tree", "node"], "m", TREES * total)
-    i, j = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("left")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), F.ceil(F.col("m") / BLOCK_NODE)).cast("int")
-    base = ["tree", "node", "rep", "group"]
-    mine = rows.where("group != most").select(*base, i.alias("i"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / BLOCK_NODE).cast("int") - 1)).alias("j"), F.lit(0).alias("side"))
-    rest = rows.select(*base, F.explode(F.sequence(F.lit(0), F.col("left") - 1)).alias("i"), j.alias("j"), F.lit(1).alias("side"))
-    work = mine.unionByName(rest).join(reps.select("rep", "grams", "sig"), "rep")
-    out = stage(work.groupBy("tree", "node", "i", "j").applyInPandas(lambda p: across(p, threshold), EDGES), "edges")
-    drop(nodes, light)
-    return out
+def _below(depth: int, threshold: float) -> search.Search:
+    return search.Search(lambda r: _leaves(r, depth), TREES, ("grams", "sig"), lambda p: below(p, threshold, depth), lambda p: across(p, threshold))
 
 
 def forest(reps: DataFrame, threshold: float, target: float) -> DataFrame:
     """(vertex, component) of representatives (rep, grams, sig) that prefixes bring together, staged; see the module's text."""
     total, depth, groups, seen = reps.count(), DEPTH, None, {}
     while True:
-        found = [_searched(reps, groups, depth, threshold, total)]
-        edges = found[0].where("a is not null").select("a", "b")
-        old, groups = groups, components(edges if groups is None else edges.unionByName(groups.select(F.col("vertex").alias("a"), F.col("component").alias("b"))))
-        more = _searched_across(reps, groups, depth, threshold, total)
-        if more is not None:
-            found.append(more)
-            edges = more.where("a is not null").select("a", "b").unionByName(groups.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
-            before, groups = groups, components(edges)
-            drop(before)
-        for f in found:
-            for r in f.where("a is null").groupBy("band").agg(F.sum("n").alias("n")).collect():  # at most BANDS + 1 rows
-                seen[r["band"]] = seen.get(r["band"], 0) + r["n"]
-        drop(*found, *([old] if old is not None else []))
+        groups, bands = search.connected(reps, groups, _below(depth, threshold), total)
+        for band, n in bands.items():
+            seen[band] = seen.get(band, 0) + n
         again = shortened(seen, depth, threshold, target)
         if again == depth:
             return groups
@@ -454,12 +364,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     groups = forest(points.select("rep", "grams", "sig"), threshold, target)
     light = groups.join(points.select("rep", "size", "chars"), groups["vertex"] == F.col("rep")).select("component", "rep", "size", "chars")
     light = stage(light, "groups", tidy=False)
-    share = F.greatest(F.sum("chars") / BLOCK_CHARS, F.count("*") / BLOCK_DOCS)
-    sizes = light.groupBy("component").agg(F.count("*").alias("n"), F.ceil(share).cast("int").alias("blocks"))
-    placed = hub_join(light, sizes, ["component"], "n", light.count())
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = F.expr("transform(sequence(0, blocks - 1), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x < block, 1, 0)))")
-    tasks = placed.select("component", "rep", "size", F.explode(pairs).alias("p")).select("component", "rep", "size", "p.i", "p.j", "p.side")
+    tasks = search.block_pairs(light, F.greatest(F.sum("chars") / BLOCK_CHARS, F.count("*") / BLOCK_DOCS))
     own = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(light.select("rep"), "rep", "left_semi")
     work = tasks.join(own.groupBy("rep").agg(F.min("text").alias("text")), "rep").select("component", "i", "j", "side", F.col("rep").alias("key"), "size", "text")
     found = stage(work.groupBy("component", "i", "j").applyInPandas(lambda p: verify(p, threshold, gram), "key long, links long, root long"), "links")

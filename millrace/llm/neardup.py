@@ -1,20 +1,23 @@
 """Near-duplicates of vectors by iterative quantisation and multi-index Hamming tables.
 
 1. Equal vectors of a label form a class; its representative is the smallest id.
-2. For each length of vectors a few rotations are learned from a bounded sample (lengths other than the commonest with at
-   most BLOCK vectors have one table with one bucket, so all their pairs are compared): principal directions, then alternating between the nearest
-   corners of the cube and the orthogonal map that fits them best (iterative quantisation), each from another start.
-   A vector's code has one bit for each rotated coordinate, which the rotation keeps balanced.
-3. The codes of all rotations are cut into substrings, the keys of as many tables; their width grows with the logarithm
-   of the number of vectors of the length's largest label, so that buckets stay small, and the number of tables with it, until pairs at the threshold
+2. For each length of vectors rotations are learned from a bounded sample (lengths other than the commonest with at most
+   BLOCK vectors have one table with one bucket, so all their pairs are compared): principal directions, then alternating
+   between the nearest corners of the cube and the orthogonal map that fits them best (iterative quantisation), each from
+   another start. A vector's code has CODE_BITS bits, one for each rotated coordinate, which the rotation keeps balanced.
+3. Codes are cut into substrings, the keys of as many tables; their width grows with the logarithm of the number of vectors
+   of the length's largest label, so that buckets stay small, and the number of tables with it, until pairs at the threshold
    share a key somewhere with the target probability (bits taken as independent, each differing by angle / pi).
-4. Vectors that share a key and a label are compared by the cosine of their original components in double precision, in
-   pairs of blocks; a pair counts in the first table where it meets. Each task returns link counts, weighted by class
-   sizes, and a spanning forest; components of the forests give the ids.
+4. Below a key, codes are compared by Hamming distance: pairs within the radius (six deviations above the distance expected
+   at the threshold) connect. Only codes travel to the tables.
+5. Connected vectors are reranked: all pairs of a component are compared by the cosine of their original components in
+   double precision, in pairs of blocks; vectors travel once for each block of their component. Each task returns link
+   counts, weighted by class sizes, and a spanning forest; components of the forests give the ids.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and vectors with a null label, link with
-nothing. Vectors of different lengths don't link. Ids must be unique; rows with a null id are left out.
-Other columns are ignored; an empty table gives an empty result.
+nothing. Vectors of different lengths don't link. Rows with a null id are left out. Repeated rows (equal id, vector and
+label) each get a row and count as copies; an id should stand for one vector: of several, one with the least digest is
+compared, and all rows of that id share its class. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .lineage import stage
+from . import search
+from .components import components, hub_join
+from .lineage import drop, stage
 
-BLOCK = 1500
+BLOCK, CODE_BITS = 1500, 256
 
 
 def width_for(vectors: int) -> int:
@@ -83,41 +87,68 @@ def usable(vector: Column, label: Column) -> Column:
     return F.coalesce(vector.isNotNull() & label.isNotNull() & finite & some, F.lit(False))
 
 
-def _pairs(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one pair of blocks of one bucket; see jaccard.verify for the sides."""
+def radius(threshold: float) -> float:
+    """The Hamming distance within which codes count as near."""
+    p = math.acos(threshold) / math.pi
+    return CODE_BITS * (p + 6 * math.sqrt(p * (1 - p) / CODE_BITS))
+
+
+def _near(codes: np.ndarray, i: np.ndarray, j: np.ndarray, most: float) -> np.ndarray:
+    return np.bitwise_count(codes[i] ^ codes[j]).sum(1) <= most
+
+
+def _codes(pdf: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), -1)
+
+
+def below(pdf: pd.DataFrame, most: float) -> pd.DataFrame:
+    """Edges between near codes of the same table, bucket and block."""
+    codes, a, b = _codes(pdf), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in pdf.groupby(["tree", "node", "block"], sort=False).indices.values():
+        step = max(1, 1_000_000 // len(own))
+        for g in range(0, len(own), step):
+            x, y = np.triu_indices(len(own), 1) if step >= len(own) else (np.repeat(np.arange(g, min(g + step, len(own))), len(own)), np.tile(np.arange(len(own)), min(step, len(own) - g)))
+            i, j = own[x], own[y]
+            on = _near(codes, i, j, most)
+            a.append(i[on])
+            b.append(j[on])
+    return search.spanning(pdf["rep"].to_numpy(np.int64), np.concatenate(a), np.concatenate(b))
+
+
+def across(pdf: pd.DataFrame, most: float) -> pd.DataFrame:
+    """Edges between near codes of side 0 and side 1."""
+    codes, side = _codes(pdf), pdf["side"].to_numpy(np.int64)
+    mine, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, 1_000_000 // max(1, len(rest)))
+    for g in range(0, len(mine), step):
+        i, j = np.repeat(mine[g : g + step], len(rest)), np.tile(rest, len(mine[g : g + step]))
+        on = _near(codes, i, j, most)
+        a.append(i[on])
+        b.append(j[on])
+    return search.spanning(pdf["rep"].to_numpy(np.int64), np.concatenate(a), np.concatenate(b))
+
+
+def rerank(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of one pair of blocks of one component; see jaccard.verify for the sides."""
     pdf = pdf.sort_values(["side", "rep"], ignore_index=True)
-    table = int(pdf["table"].iloc[0])
     left = int((pdf["side"] == 0).sum())
     same = left == len(pdf)
     x = np.array(pdf["vector"].tolist(), np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     x /= np.sqrt((x * x).sum(1, keepdims=True))
-    keys = np.array(pdf["keys"].tolist(), np.int64)
-    y, other = (x, keys) if same else (x[left:], keys[left:])
-    link = x[:left] @ y.T >= threshold
+    link = x[:left] @ (x if same else x[left:]).T >= threshold
     if same:
         link = np.triu(link, 1)
-    for t in range(table):  # a pair counts where it meets first
-        link &= keys[:left, t, None] != other[None, :, t]
     size, ids = pdf["size"].to_numpy(np.int64), pdf["rep"].to_numpy(np.int64)
     shift = 0 if same else left
     n = np.zeros(len(pdf), np.int64)
-    n[:left] += (link * size[shift:][None, :] if not same else link * size[None, :]).sum(1)
-    n[shift : shift + len(y)] += (link * size[:left, None]).sum(0)
-    root = np.arange(len(pdf))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(*np.nonzero(link), strict=True):
-        a, b = find(int(i)), find(int(j) + shift)
-        if a != b:
-            root[max(a, b)] = min(a, b)
+    n[:left] += link @ size[shift:]
+    n[shift:] += link.T @ size[:left]
+    i, j = np.nonzero(link)
+    top = search.labels(len(pdf), i, j + shift)
     used = np.flatnonzero(n)
-    return pd.DataFrame({"rep": ids[used], "links": n[used], "root": ids[[find(int(i)) for i in used]]})
+    return pd.DataFrame({"rep": ids[used], "links": n[used], "root": ids[top[used]]})
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, target: float = 0.995, sample: int = 4000) -> DataFrame:
@@ -131,52 +162,54 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     if not groups:
         return rows.select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
     commonest = max(groups, key=lambda g: (g["n"], g["d"]))["d"]
-    learned = {}
+    learned, most_tables = {}, 1
     for g in groups:  # the vectors of a length that fit in one block need no tables; they are all compared
         if g["n"] > BLOCK or g["d"] == commonest:
             x = usable_rows.where(F.col("d") == g["d"]).orderBy(F.xxhash64("key"), "key").limit(sample).select("vector").collect()  # bounded
             width = width_for(g["most"])
-            learned[g["d"]] = learn(np.array([r[0] for r in x]), tables_for(threshold, width, target), width)
-    classes = usable_rows.groupBy("label", "class").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-    own = usable_rows.select(F.col("key").alias("rep"), "vector", "d", F.col("class").alias("c"))
+            tables = tables_for(threshold, width, target)
+            learned[g["d"]] = (tables, learn(np.array([r[0] for r in x]), max(tables, -(-CODE_BITS // width)), width))
+            most_tables = max(most_tables, tables)
     cuts = spark.sparkContext.broadcast(learned)
 
-    @F.pandas_udf("array<long>")
-    def keys(v: pd.Series) -> pd.Series:
-        out = pd.Series([[0]] * len(v), index=v.index, dtype=object)
-        for d, at in v.groupby(v.map(len)).groups.items():
+    @F.pandas_udf("struct<keys: array<long>, code: binary>")
+    def coded(v: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"keys": pd.Series([[0]] * len(v), dtype=object), "code": pd.Series([bytes(CODE_BITS // 8)] * len(v), dtype=object)})
+        for d, at in v.reset_index(drop=True).groupby(v.reset_index(drop=True).map(len)).groups.items():
             if d in cuts.value:
-                m = np.array(v[at].tolist(), np.float64)
-                bits = 1 << np.arange(cuts.value[d][0].shape[1], dtype=np.int64)
-                out[at] = pd.Series(list(np.stack([(m @ c >= 0) @ bits for c in cuts.value[d]], 1)), index=at)
+                m = np.array(v.iloc[at].tolist(), np.float64)
+                tables, directions = cuts.value[d]
+                bits = np.stack([m @ c >= 0 for c in directions], 1)
+                keys = bits[:, :tables] @ (1 << np.arange(bits.shape[2], dtype=np.int64))
+                code = np.packbits(bits.reshape(len(m), -1)[:, :CODE_BITS], axis=1)
+                out.loc[at, "keys"] = pd.Series(list(keys), index=at, dtype=object)
+                out.loc[at, "code"] = pd.Series([c.tobytes() for c in code], index=at, dtype=object)
         return out
 
-    reps = stage(classes.join(own, "rep").where(F.col("c") == F.col("class")).dropDuplicates(["rep"]).drop("c").withColumn("keys", keys("vector")), "vectors")
-    leaves = reps.select("label", "d", "rep", F.posexplode("keys").alias("table", "bucket"))
-    sizes = leaves.groupBy("label", "d", "table", "bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("last", ((F.col("n") - 1) / BLOCK).cast("int"))
-    placed = leaves.join(sizes, ["label", "d", "table", "bucket"])
-    # Rows of large buckets are dealt to blocks by hash; a block then holds about BLOCK rows.
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int"))
-    pairs = F.expr("transform(sequence(0, last), x -> named_struct('i', least(x, block), 'j', greatest(x, block), 'side', if(x < block, 1, 0)))")
-    tasks = placed.select("label", "d", "table", "bucket", "rep", F.explode(pairs).alias("p")).select("label", "d", "table", "bucket", "p.i", "p.j", "p.side", "rep")
-    work = tasks.join(reps.select("rep", "size", "vector", "keys"), "rep")
-    found = _bucketed(work, threshold)
-    found = stage(found, "links")
-    joined = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = reps.select(F.col("label").alias("l"), F.col("class").alias("c"), "rep", "size").join(links, "rep", "left").join(joined, F.col("rep") == F.col("vertex"), "left")
-    known = known.select("l", "c", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(known, (F.col("label") == F.col("l")) & (F.col("class") == F.col("c")), "left")
-    out = out.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "key").alias("component_id"))
+    classes = usable_rows.groupBy("label", "class").agg(F.min("key").alias("rep"), F.count("*").alias("size"), F.first("vector").alias("vector"), F.first("d").alias("d"))
+    classes = stage(classes, "classes", tidy=False)
+    reps = classes.groupBy("rep").agg(F.min_by(F.struct("label", "size", "vector", "d"), F.struct("class", "label")).alias("x")).select("rep", "x.*")
+    reps = stage(reps.withColumn("c", coded("vector")).select("rep", "label", "size", "vector", "d", "c.keys", "c.code"), "vectors", tidy=False)
+
+    def leaves(r: DataFrame) -> DataFrame:
+        return r.select("rep", "group", "label", "d", F.posexplode("keys").alias("tree", "key")).select("rep", "group", "tree", F.xxhash64("label", "d", "key").alias("node"))
+
+    most = radius(threshold)
+    near = search.Search(leaves, most_tables, ("code",), lambda p: below(p, most), lambda p: across(p, most))
+    light = reps.select("rep", "label", "d", "keys", "code")
+    found, _ = search.connected(light, None, near, reps.count())
+    members = stage(found.join(reps.select("rep", "size"), found["vertex"] == F.col("rep")).select("component", "rep", "size"), "groups", tidy=False)
+    tasks = search.block_pairs(members, F.count("*") / BLOCK)
+    work = tasks.join(reps.select("rep", "vector"), "rep")
+    links = stage(work.groupBy("component", "i", "j").applyInPandas(lambda p: rerank(p, threshold), "rep long, links long, root long"), "links")
+    joined = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    linked = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    known = classes.select(F.col("label").alias("l"), F.col("class").alias("c"), "rep", "size").join(linked, "rep", "left").join(joined, F.col("rep") == F.col("vertex"), "left")
+    known = known.select("l", "c", "size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = stage(known.select(F.col("l").alias("label"), F.col("c").alias("class"), "size", "n_links", "component_id"), "known", tidy=False)
+    drop(reps, classes, found, members, links, joined)
+    total = sum(g["n"] for g in groups)
+    rows = rows.select("key", "label", "class")
+    out = hub_join(rows.where("class is not null"), known, ["label", "class"], "size", total).select("key", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.unionByName(rows.where("class is null").select("key", F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id")))
     return out.withColumn("kept", F.col("key") == F.col("component_id"))
-
-
-def _bucketed(work: DataFrame, threshold: float) -> DataFrame:
-    """Buckets of a table that fall to the same hash share a Python call, which takes them apart again."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_pairs(g, threshold) for _, g in pdf.groupby(["label", "d", "table", "bucket", "i", "j"], sort=False) if len(g) > 1]
-        return pd.concat(parts) if parts else pd.DataFrame({"rep": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-
-    lot = F.pmod(F.xxhash64("label", "d", "table", "bucket", "i", "j"), F.lit(4096)).alias("lot")
-    return work.withColumn("lot", lot).groupBy("lot").applyInPandas(run, "rep long, links long, root long")

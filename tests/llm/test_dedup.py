@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from millrace.llm import components, jaccard, neardup, queries, suffix
+from millrace.llm import components, jaccard, neardup, queries, search, suffix
 
 
 def brute_removed(docs):
@@ -196,7 +196,7 @@ def test_nodes_in_blocks(spark, monkeypatch, block, pairs):
     rows = pd.DataFrame({"tree": 0, "node": 1, "block": np.arange(150) % -(-150 // block), "rep": np.arange(150), "group": np.arange(150), "grams": 100, "sig": [x.tobytes() for x in sig]})
     monkeypatch.setattr(jaccard, "ALL_PAIRS", pairs)
     found = [jaccard.below(rows, 0.8, 4).dropna()]
-    same = lambda e: jaccard._labels(150, e["a"].to_numpy(np.int64), e["b"].to_numpy(np.int64))
+    same = lambda e: search.labels(150, e["a"].to_numpy(np.int64), e["b"].to_numpy(np.int64))
     rows["group"] = same(found[0])
     most = rows["group"].mode()[0]
     parts = [rows[rows["group"] != most].assign(side=0), rows.assign(side=1)]
@@ -204,7 +204,7 @@ def test_nodes_in_blocks(spark, monkeypatch, block, pairs):
     label = same(pd.concat(found))
     alike = (sig[:, None] == sig[None]).mean(2) >= 0.8 - 5.5 * (0.16 / sig.shape[1]) ** 0.5
     assert (label[:, None] == label[None])[alike].all()
-    assert len(np.unique(label)) == len(np.unique(jaccard._labels(150, *np.nonzero(alike))))
+    assert len(np.unique(label)) == len(np.unique(search.labels(150, *np.nonzero(alike))))
 
 
 def test_hub_join_deals_hot_keys(spark):
@@ -282,6 +282,40 @@ def test_vectors_of_several_lengths(spark, monkeypatch, block):
     assert got[1000][0] > 10
 
 
+@pytest.mark.parametrize("width", [8, 14, 21])
+def test_recall_of_the_tables(spark, monkeypatch, width):
+    """Pairs at a cosine of 0.93 to 0.95 among unlike vectors, at several key widths."""
+    monkeypatch.setattr(neardup, "width_for", lambda n: width)
+    rng = np.random.default_rng(width)
+    n, d = 400, 64
+    x = rng.standard_normal((n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((n, d))
+    y -= (y * x).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, (n, 1))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["key"]: r["n_links"] for r in neardup.near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.985 * 2 * n
+    assert max(got.values()) == 1
+
+
+def test_large_buckets_of_vectors(spark, monkeypatch):
+    """Buckets beyond a block: what is outside their largest component meets them whole."""
+    monkeypatch.setattr(search, "BLOCK", 9)
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((3, 16))
+    rows = [(i, (base[i % 3] + (0.02 + 0.3 * (i % 7 == 0)) * rng.standard_normal(16)).tolist(), 1) for i in range(120)]
+    rows += [(5, rows[5][1], 1), (5, rows[5][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r["key"], r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect())
+    want = brute_vectors([(i if n < 120 else 1000 + n, v, lab) for n, (i, v, lab) in enumerate(rows)])
+    want = sorted((i if i < 1000 else 5, *w[:2], i == w[1] or i >= 1000 and w[1] == 5) for i, w in want.items())
+    assert got == want
+
+
 def test_components_of_a_path(spark):
     n = 40
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 101)], "a long, b long")
