@@ -1,13 +1,16 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut where a rolling hash of its last 16 characters meets a mask, so that passages shared by documents give
-the same chunks wherever they stand. What a chunk's tokens are is certain between its first and last safe point: a
-place after a character that is no white space and before a single space that such a character follows. The
-pre-tokenizer always ends a piece there, no added token holds a space, and nothing to the left or right changes that,
-so the text between two safe points has the same tokens in any document. This inner part is encoded once for each chunk
-and Python worker, and so are the words between its safe points (the caches have bounds and start anew when full). At a join, what follows the last safe point on the left and precedes the first one on the right is
-re-encoded together; a chunk without safe points is added whole to the join, which so grows until both ends agree
-exactly with the neighbours' tokens.
+the same chunks wherever they stand. Each chunk is encoded once for each Python worker and cache generation (the caches
+have bounds and start anew when full): its inner part, from the first safe point to the last one. A safe point is a place
+after a character that is no white space and before a single space that such a character follows; the pre-tokenizer always
+ends a piece there. The part is kept as the tokens of its words, and words are encoded once too.
+
+At a join, what follows the last safe point on the left and precedes the first one on the right is not known from either
+chunk. It is re-encoded in one window with the last word on the left and the first one on the right. The window's tokens
+must begin with the left word's tokens and end with the right one's; what lies between belongs to the join. Where they
+do not agree, the window takes twice as many words on both sides, until it does or covers the whole text. A chunk without
+safe points is added whole to the join.
 
 Null texts are empty: no tokens, and the digests of empty bytes. Repeated rows are encoded like others. Texts are
 read whole, in any length. An empty table gives an empty result; other columns are ignored.
@@ -20,7 +23,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,36 +117,37 @@ class Encoder:
 
     def __init__(self, path: str, cache_chars: int = CACHE_CHARS, cache_words: int = CACHE_WORDS) -> None:
         self.tok, self.most, self.most_words = tokenizer(path), cache_chars, cache_words
-        self.chunks: dict[str, tuple[str, str | None, str]] = {}
-        self.ids: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.held = self.pieces = 0
-
-    def _split(self, chunk: str) -> tuple[str, str | None, str]:
-        """What precedes the first safe point, what stands between it and the last one (None: no safe point), the rest."""
+        self.chunks: dict[str, tuple[str, list[str] | None, str]] = {}
+        self.ids: dict[str, bytes] = {}  # of inner parts
+        self.joins: dict[tuple[str, str, str], bytes | None] = {}  # None: one word on either side does not do
+        self.words: dict[str, bytes] = {"": b""}
+        self.held = self.pieces = self.widened = 0
+
+    def _split(self, chunk: str) -> tuple[str, list[str] | None, str]:
+        """What precedes the first safe point, the words between it and the last one (None: no safe point), the rest."""
         found = self.chunks.get(chunk)
         if found is None:
-            first = SAFE.search(chunk)
-            if first is None:
-                found = (chunk, None, "")
-            else:
-                a = z = first.start()
-                k = chunk.rfind(" ")
-                while k > a:
-                    if not chunk[k - 1].isspace() and not chunk[k + 1 : k + 2].isspace() and k + 1 < len(chunk):
-                        z = k
-                        break
-                    k = chunk.rfind(" ", 0, k)
-                found = (chunk[:a], chunk[a:z], chunk[z:])
+            parts = SAFE.split(chunk)
+            found = (parts[0], None, "") if len(parts) == 1 else (parts[0], parts[1:-1] or [""], parts[-1])
             self.chunks[chunk] = found
             self.held += 2 * len(chunk)
         return found
 
+    def _exact(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for i in range(0, len(texts), 8192) for e in self.tok.encode_batch_fast(texts[i : i + 8192], add_special_tokens=False)]
+
+    def _inside(self, left: list[str], join: str, right: list[str], window: bytes) -> bytes | None:
+        """The join's tokens in an encoded window, if it agrees with the words on both sides."""
+        head, tail = (b"".join(map(self.words.__getitem__, x)) for x in (left, right))
+        if len(head) + len(tail) > len(window) or not window.startswith(head) or not window.endswith(tail):
+            return None
+        return window[len(head) : len(window) - len(tail)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if self.held > self.most:
-            self.chunks, self.ids, self.held = {}, {"": b""}, 0
-        plans = []
+            self.chunks, self.ids, self.joins, self.held = {}, {}, {}, 0
+        plans: list[list] = []  # join, words, join, ..., words, join
         for t in texts:
             plan, join, at = [], "", 0
             for e in cuts(t):
@@ -156,18 +159,57 @@ class Encoder:
                 at = e
             plan.append(join)
             plans.append(plan)
-        new = [s for s in dict.fromkeys(chain.from_iterable(plans)) if s not in self.ids]
-        split = [SAFE.split(x) for x in new]
-        fresh = list(set().union(*split).difference(self.words)) if split else []
+        fresh = {w for p in plans for body in p[1::2] for w in body} - self.words.keys()
         if len(self.words) + len(fresh) > self.most_words:
-            self.words = {}
-            fresh = list(set().union(*split))
-        new_words(self.tok, fresh, self.words, False)
-        for x, words in zip(new, split, strict=True):
-            self.ids[x] = b"".join(map(self.words.__getitem__, words))
-            self.held += 2 * len(x)
+            self.words = {"": b""}
+            fresh = {w for p in plans for body in p[1::2] for w in body} - self.words.keys()
+        new_words(self.tok, list(fresh), self.words, False)
         self.pieces += len(fresh)
-        return [b"".join(map(self.ids.__getitem__, p)) for p in plans]
+        windows: dict[tuple[str, str, str], None] = {}
+        keys = []
+        for p in plans:
+            own = [(p[i - 1][-1] if i else "", p[i], p[i + 1][0] if i + 1 < len(p) else "") for i in range(0, len(p), 2)]
+            keys.append(own)
+            windows.update((k, None) for k in own if k not in self.joins)
+        for k, ids in zip(windows, self._exact(["".join(k) for k in windows]), strict=True):
+            self.joins[k] = self._inside([k[0]], k[1], [k[2]], ids)
+            self.held += sum(map(len, k))
+        out = []
+        for p, own in zip(plans, keys, strict=True):
+            parts = []
+            for i, k in enumerate(own):
+                ids = self.joins[k]
+                if ids is None:
+                    ids = self._widened(p, 2 * i)
+                if ids is None:
+                    parts = self._exact(["".join("".join(x) for x in p)])
+                    break
+                parts.append(ids)
+                if i + 1 < len(own):
+                    parts.append(self._body(p[2 * i + 1]))
+            out.append(b"".join(parts))
+        return out
+
+    def _body(self, words: list[str]) -> bytes:
+        key = "".join(words)
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = b"".join(map(self.words.__getitem__, words))
+            self.held += len(key)
+        return found
+
+    def _widened(self, plan: list, at: int) -> bytes | None:
+        """A join's tokens from windows of more words of the neighbouring parts; None if those don't do either."""
+        left, right = (plan[at - 1] if at else [""]), (plan[at + 1] if at + 1 < len(plan) else [""])
+        n = 2
+        while n < 2 * max(len(left), len(right)):
+            self.widened += 1
+            a, b = left[-n:], right[:n]
+            ids = self._inside(a, plan[at], b, self._exact(["".join([*a, plan[at], *b])])[0])
+            if ids is not None:
+                return ids
+            n *= 2
+        return None
 
 
 @lru_cache(2)
