@@ -7,8 +7,12 @@ headers are checked by CRC-8, frames by CRC-16, and the stream by the MD5 of its
 read too (8-bit mono; constant, verbatim, fixed and LPC subframes; partitions; escaped partitions), one frame after the
 other where they have no seek point for each frame.
 
+The encoder tries constant, verbatim, fixed (orders 0 to 2) and linear prediction subframes and takes the smallest by its
+estimate. Payloads are read back as PCM blocks, each known by its sample offset (Pcm).
+
 A payload of no bytes gives a stream without frames. A null payload gives a null stream, and a broken stream raises
-ValueError. Payloads are stored whole, in any length.
+ValueError. Payloads are stored whole, in any length. Repeated rows are stored like others, other columns are ignored, and
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import hashlib
 import math
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +35,8 @@ from .batches import slices
 BLOCK = 1152
 RATE = 8000
 GROUP = 2048  # frames decoded together
+LPC_ORDER = 4  # of the linear prediction that media() tries for each frame
+MOST_POINTS = 930_000  # a seek table has a 24-bit size; beyond that every second (third, ...) frame has a point
 
 #: Fixed values of the format: block size codes, and the predictors' coefficients by order.
 SIZE_CODES = {192: 1, 576: 2, 1152: 3, 2304: 4, 4608: 5, 256: 8, 512: 9, 1024: 10, 2048: 11, 4096: 12, 8192: 13, 16384: 14, 32768: 15}
@@ -195,8 +202,10 @@ def encode(payloads: list[bytes], block: int = BLOCK, lpc_order: int = 0) -> lis
         info = struct.pack(">HH", least, max(least, block)) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
         info += (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest()
         points, at = [], 0
+        every = max(1, -(-len(f) // MOST_POINTS))
         for k, s in enumerate(sizes[: len(f)]):
-            points.append(struct.pack(">QQH", k * block, at, min(block, len(p) - k * block)))
+            if k % every == 0:
+                points.append(struct.pack(">QQH", k * block, at, min(block, len(p) - k * block)))
             at += s
         table = b"".join(points)
         out.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table + b"".join(f))
@@ -437,6 +446,27 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return [b"".join(x for _, x in b) for b in decode_blocks(streams)]
 
 
+class Pcm:
+    """Decoded blocks of a stream, found by sample offset."""
+
+    def __init__(self, blocks: list[tuple[int, bytes]]) -> None:
+        self.blocks = blocks
+        self.offsets = [a for a, _ in blocks]
+        self.samples = blocks[-1][0] + len(blocks[-1][1]) if blocks else 0
+
+    def read(self, start: int, count: int) -> bytes:
+        """The samples from `start` on, `count` of them or as many as there are."""
+        out, end = [], min(start + count, self.samples)
+        i = bisect_right(self.offsets, start) - 1
+        while start < end:
+            a, pcm = self.blocks[i]
+            if not a <= start < a + len(pcm):
+                raise ValueError("a gap between blocks")
+            out.append(pcm[start - a : end - a])
+            start, i = a + len(pcm), i + 1
+        return b"".join(out)
+
+
 def feature(payload: bytes) -> str:
     """Moments, level crossings and entropy of the samples."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
@@ -457,7 +487,7 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, limit=1 << 20):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(encode([text_payload(t) for t in texts]), pa.binary())], ["key", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(encode([text_payload(t) for t in texts], lpc_order=LPC_ORDER), pa.binary())], ["key", "n_bytes", "media"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -493,14 +523,15 @@ def digests(stored: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, got in _streams(batches, 2):
             got = [s or b"" for s in got]
-            pay = decode(got)
+            read = [Pcm(b) for b in decode_blocks(got)]
+            pay = [p.read(0, p.samples) for p in read]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
                     pa.array([len(p) for p in pay], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in pay]),
-                    pa.array([zlib.crc32(p[-16:]) for p in pay], pa.int64()),
+                    pa.array([zlib.crc32(p.read(p.samples - 16, 16)) for p in read], pa.int64()),
                     pa.array([len(s) for s in got], pa.int64()),
                     pa.array([hashlib.sha256(s).hexdigest() for s in got]),
                     pa.array([feature(p) for p in pay]),
