@@ -7,16 +7,18 @@ A. Each document's anchors are counted over all documents (packed by bucket of t
    already shows to be shared is passed on without going to the anchor's bucket, with one witness).
 B. Runs with an anchor of two or more documents ship their text once for each lot of documents; where a smaller id of
    the lot has the very same text, the run is settled there.
-C. In each bucket the windows are sorted: those of one anchor, at one distance from it, by a mergesort that compares
-   suffixes through prefix polynomial hashes and binary search for the common extension. Neighbours are then compared
+   Of anchors that stand in very many documents (HOT, or more where the input is large, so that their list has a bound)
+   each window ships by itself, to the bucket that its own bytes name, so that no bucket takes all that surrounds them.
+C. In each bucket windows whose hash no other window of the same anchor and distance has are set aside, as they equal none.
+   The others are sorted: those of one anchor, at one distance from it, by a mergesort that compares suffixes through prefix polynomial hashes and binary search for the common extension. Neighbours are then compared
    byte by byte, so a hash collision can't change the result (such a segment is sorted by its bytes). Each class of
    equal windows learns its smallest id, and windows of other ids are removed.
 D. The covered bytes of each document are united and cut out.
 
 Documents are dealt to lots by id, about LOT_BYTES of text each, so nothing of all documents meets in one place. Texts
 are read whole as UTF-8; null texts are empty and lose nothing, as do documents with a null id, which also remove
-nothing. Repeated rows (equal id and text) do not remove each other's bytes; ids that stand for different texts are not
-supported. An empty table gives an empty result; extra columns are ignored.
+nothing. Rows with equal ids count as one document's: they do not remove each other's bytes; where they hold different
+texts, what is removed from either is removed from all of them at the same places. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from .batches import slices
 from .lineage import drop, stage
 
 LENGTH, GRAM, LOT_BYTES, SORT_BYTES = 50, 26, 8 << 20, 1 << 19
+HOT, HOT_LIST = 5000, 1_000_000
 SPAN = LENGTH - GRAM + 1
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -120,11 +123,20 @@ def runs(data: np.ndarray, begin: np.ndarray, size: np.ndarray, part: int = 1 <<
 
 
 def _dealt(ids: np.ndarray, lots: int) -> np.ndarray:
-    return (ids ^ (ids >> 17)) % lots
+    """The lot of each id: shifts and exclusive ors scatter ids with a common stride."""
+    x = ids.astype(U)
+    x = x ^ (x << U(13))
+    x = x ^ (x >> U(7))
+    x = x ^ (x << U(17))
+    return x.view(np.int64) % lots
 
 
 def _lot(c: Column, lots: int) -> Column:
-    return F.pmod(c.bitwiseXOR(F.shiftright(c, 17)), F.lit(lots)).cast("int")
+    """_dealt as a column."""
+    c = c.bitwiseXOR(F.shiftleft(c, 13))
+    c = c.bitwiseXOR(F.shiftrightunsigned(c, 7))
+    c = c.bitwiseXOR(F.shiftleft(c, 17))
+    return F.pmod(c, F.lit(lots)).cast("int")
 
 
 def _groups(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -136,7 +148,7 @@ def _groups(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """Step A on the documents' side: (bucket, known, ids, keys)."""
+    """Step A on the documents' side: (bucket, known, ids, keys, docs): docs says for how many documents an id stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         caches.claim("suffix")
@@ -153,39 +165,45 @@ def anchors(docs: DataFrame, buckets: int) -> DataFrame:
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             shared = np.repeat(np.diff(np.r_[start, len(key)]) > 1, np.diff(np.r_[start, len(key)]))
             bucket = ((key >> U(32)) % U(buckets)).astype(np.int64)
-            rows = [(b, False, ids[start[p]].tobytes(), key[start[p]].astype(np.uint32).tobytes()) for b, p in _groups(bucket[start])]
+            size = np.diff(np.r_[start, len(key)]).astype(np.int32)
+            rows = [(b, False, ids[start[p]].tobytes(), key[start[p]].astype(np.uint32).tobytes(), size[p].tobytes()) for b, p in _groups(bucket[start])]
             if shared.any():
                 full = (bucket[shared].astype(U) << U(32)) | (key[shared] & U(0xFFFFFFFF))
                 at = np.flatnonzero(shared)
                 for k in range(0, len(at), 4096):  # rows of moderate size, over many buckets
-                    rows.append(((int(ids[0]) + n + k) % buckets, True, ids[at[k : k + 4096]].tobytes(), full[k : k + 4096].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["bucket", "known", "ids", "keys"])
+                    rows.append(((int(ids[0]) + n + k) % buckets, True, ids[at[k : k + 4096]].tobytes(), full[k : k + 4096].tobytes(), None))
+            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["bucket", "known", "ids", "keys", "docs"])
 
-    return docs.mapInArrow(run, "bucket int, known boolean, ids binary, keys binary")
+    return docs.mapInArrow(run, "bucket int, known boolean, ids binary, keys binary, docs binary")
 
 
 def _joined(column: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def shared_anchors(rows: DataFrame, lots: int) -> DataFrame:
-    """Step A on the anchors' side: (lot, ids, keys) of anchors that stand in two or more documents."""
+def shared_anchors(rows: DataFrame, lots: int, hot: int) -> DataFrame:
+    """Step A on the anchors' side: (lot, ids, keys) of anchors that stand in two or more documents; lot -1 lists those of
+    more than `hot` documents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known = pdf[pdf["known"]]
         ids, keys = [_joined(known["ids"], np.int64)], [_joined(known["keys"], U)]
         rest = pdf[~pdf["known"]]
+        often = np.zeros(0, U)
         if len(rest):
-            i, k = _joined(rest["ids"], np.int64), _joined(rest["keys"], np.uint32)
+            i, k, c = _joined(rest["ids"], np.int64), _joined(rest["keys"], np.uint32), _joined(rest["docs"], np.int32)
             order = np.lexsort((i, k))
             i, k = i[order], k[order]
             start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             size = np.diff(np.r_[start, len(k)])
             many = np.repeat(i[start] != i[start + size - 1], size)
+            often = k[start][np.add.reduceat(c[order].astype(np.int64), start) > hot].astype(U) | (U(int(pdf["bucket"].iloc[0])) << U(32))
             ids.append(i[many])
             keys.append((U(int(pdf["bucket"].iloc[0])) << U(32)) | k[many].astype(U))
         i, k = np.concatenate(ids), np.concatenate(keys)
         out = [(lot, i[p].tobytes(), k[p].tobytes()) for lot, p in _groups(_dealt(i, lots))]
+        out += [(-1, b"", often.tobytes())] * bool(len(often))
         return pd.DataFrame(out, columns=["lot", "ids", "keys"])
 
     return rows.groupBy("bucket").applyInPandas(run, "lot int, ids binary, keys binary")
@@ -198,8 +216,15 @@ def _pairs(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
 PASSAGES = "bucket int, known boolean, lot int, ids binary, a binary, b binary, text binary"
 
 
-def passages(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Step B for one lot: unsettled runs (a: starts, b: lengths, compressed text) by bucket, and settled ones (a: starts, b: ends)."""
+def _windows(own: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document and the position of each window of runs."""
+    n = last - first + 1
+    return np.repeat(own, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def passages(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int, hot: np.ndarray) -> pd.DataFrame:
+    """Step B for one lot: unsettled runs (a: starts, b: lengths, compressed text) by bucket, and settled ones (a: starts, b:
+    ends). Runs with one of the `hot` anchors (sorted) are taken apart into windows."""
     caches.claim("suffix")
     none = pd.DataFrame({c.split()[0]: [] for c in PASSAGES.split(", ")})
     if not len(docs) or not len(shared):
@@ -217,6 +242,7 @@ def passages(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataF
     if not len(hit):
         return none
     own, first, last, bucket = own[hit], first[hit], last[hit], (full[hit] >> U(32)).astype(np.int64)
+    frequent = np.isin(full[hit], hot)
     raw = data.tobytes()
     seen: dict[bytes, int] = {}
     texts, open_ = [], np.ones(len(hit), bool)
@@ -225,6 +251,19 @@ def passages(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int) -> pd.DataF
         t = raw[a : z + LENGTH]
         texts.append(t)
         open_[i] = seen.setdefault(t, d) == d  # documents come by id
+    apart = np.flatnonzero(frequent & open_)
+    if len(apart):
+        w_own, w_first = _windows(own[apart], first[apart], last[apart])
+        stay = np.flatnonzero(~(frequent & open_))
+        w_text = [raw[a : a + LENGTH] for a in w_first.tolist()]
+        alone: dict[bytes, int] = {}
+        w_open = np.array([alone.setdefault(t, d) == d for t, d in zip(w_text, ids[w_own].tolist(), strict=True)], bool)
+        grid = data[w_first[:, None] + np.arange(LENGTH)].astype(U)
+        place = (_mix((grid * LETTER[:LENGTH]).sum(1)) >> U(32)) % U(buckets)
+        own, first, last = np.r_[own[stay], w_own], np.r_[first[stay], w_first], np.r_[last[stay], w_first]
+        bucket, open_ = np.r_[bucket[stay], place.astype(np.int64)], np.r_[open_[stay], w_open]
+        texts = [texts[i] for i in stay.tolist()] + w_text
+        owner = ids[own].tolist()
     lot = int(docs["lot"].iloc[0])
     start = first - begin[own]
     length = last - first + LENGTH
@@ -352,9 +391,18 @@ def settle(ids: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.n
     n = np.diff(np.r_[start_, len(s)])
     several = np.repeat(n > 1, n)
     order, s = order[several], s[several]
+    if len(order):  # a window whose hash is alone in its segment equals no other
+        suffixes = Suffixes(data)
+        h = suffixes.hash.of(where[order], LENGTH)
+        by = np.lexsort((h, s))
+        new = np.r_[True, (h[by][1:] != h[by][:-1]) | (s[by][1:] != s[by][:-1])]
+        at = np.flatnonzero(new)
+        n = np.diff(np.r_[at, len(by)])
+        again = np.sort(by[np.repeat(n > 1, n)])
+        order, s = order[again], s[again]
     removed = np.zeros(len(where), bool)
     if len(order):
-        sorted_, cls = Suffixes(data).classes(where[order], s)
+        sorted_, cls = suffixes.classes(where[order], s)
         back = np.searchsorted(begin, sorted_, side="right") - 1
         cls0 = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
         low = np.minimum.reduceat(owner[back], cls0)
@@ -441,8 +489,12 @@ def _removed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     lots = max(12, -(-total // LOT_BYTES)) | 1
     dealt = own.select(_lot(F.col("id"), lots).alias("lot"), "id", "text")
-    first = stage(shared_anchors(anchors(own, lots), lots), "anchors")
-    open_ = dealt.groupBy("lot").cogroup(first.groupBy("lot")).applyInPandas(lambda d, s: passages(d, s, lots), PASSAGES)
+    often = max(HOT, total // HOT_LIST)  # a document has no more anchors than bytes, so their list stays below HOT_LIST
+    first = stage(shared_anchors(anchors(own, lots), lots, often), "anchors")
+    listed = [np.frombuffer(r["keys"], U) for r in first.where("lot = -1").select("keys").collect()]  # bounded by HOT_LIST
+    hot = np.sort(np.concatenate(listed)) if listed else np.zeros(0, U)
+    shared = first.where("lot >= 0")
+    open_ = dealt.groupBy("lot").cogroup(shared.groupBy("lot")).applyInPandas(lambda d, s: passages(d, s, lots, hot), PASSAGES)
     gone = stage(removals(open_, lots), "removals")
     drop(first)
     return dealt, gone, lots

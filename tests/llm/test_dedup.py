@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import components, jaccard, neardup, queries, search, suffix
 
@@ -61,6 +62,31 @@ def test_suffix_equals_brute_force(spark, corpus):
     assert got == brute_removed(corpus)
 
 
+@pytest.mark.parametrize("hot", [1, 3, 20])
+def test_suffix_hot_anchors(spark, corpus, monkeypatch, hot):
+    """Anchors of more than a few documents ship their windows one by one."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "LOT_BYTES", 20_000)
+    df = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
+    got = {r["key"]: tuple(r)[1:] for r in suffix.dedup_digests(df).collect()}
+    assert got == brute_removed(corpus)
+
+
+def test_suffix_repeated_rows(spark):
+    t = "a common passage of well over fifty bytes that stands in both"
+    df = spark.createDataFrame([(1, t), (1, t), (2, "x " + t), (2, "x " + t), (2, "x " + t)], "doc_id long, text string")
+    got = sorted((r["key"], r["n_removed"]) for r in suffix.dedup_digests(df).collect())
+    assert got == [(1, 0)] * 2 + [(2, len(t))] * 3
+
+
+def test_suffix_lots_scatter_strides(spark):
+    ids = np.arange(0, 33 * 6000, 33)
+    df = spark.createDataFrame([(int(i),) for i in ids], "id long")
+    got = [r[0] for r in df.select(suffix._lot(F.col("id"), 33)).collect()]
+    assert got == suffix._dealt(ids, 33).tolist()
+    assert max(np.bincount(got, minlength=33)) < 300
+
+
 def test_suffix_small_lots(spark, corpus, monkeypatch):
     monkeypatch.setattr(suffix, "SORT_BYTES", 4000)
     own = {d: t for d, t in corpus.items() if d < 2000 or d >= 3000}
