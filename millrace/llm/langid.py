@@ -42,7 +42,8 @@ def training_rows(docs: DataFrame, lang: str, text: str, key: str, per_lang: int
     """A bounded sample: of each language the `per_lang` texts of at most `max_chars` characters whose ids hash lowest."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= max_chars))
     ids = lowest(known.select(F.col(key).alias("_k"), F.col(lang).alias("_l")), "_l", "_k", per_lang).select("_k").distinct()
-    return known.join(F.broadcast(ids), F.col(key) == F.col("_k"), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = known.join(F.broadcast(ids), F.col(key) == F.col("_k"), "left_semi").groupBy(F.col(key), F.col(lang).alias("lang"))
+    return rows.agg(F.min(text).alias("text")).select("lang", "text")  # an id's rows count once
 
 
 @dataclass

@@ -87,13 +87,13 @@ def votes_of(pattern: int) -> list[int]:
 
 
 def votes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pattern (null for texts without a word)."""
+    """key, pattern (null for texts without a word) and chars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vote(shares(t)) if t.strip() else None for t in texts], pa.int32())], ["key", "pattern"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([vote(shares(t)) if t.strip() else None for t in texts], pa.int32()), pa.array([len(t) for t in texts], pa.int64())], ["key", "pattern", "chars"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, pattern int")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, pattern int, chars long")
 
 
 def expectation_maximisation(counts: dict[int, int], steps: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
@@ -207,10 +207,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", per_class: int
     bad = [p for p, g in posterior.items() if g < 0.5]
     if not bad or len(bad) == len(posterior):
         return model
-    marked = held.where(F.col("key").isNotNull()).select(F.col("key").alias("_k"), F.col("pattern").alias("_p"), F.col("pattern").isin(bad).alias("_b"))
+    marked = held.where(F.col("key").isNotNull() & (F.col("chars") <= max_chars)).select(F.col("key").alias("_k"), F.col("pattern").alias("_p"), F.col("pattern").isin(bad).alias("_b"))
     ids = lowest(marked, "_b", "_k", per_class).select("_k", "_p").dropDuplicates(["_k"])
     own = docs.where(F.length(text) <= max_chars).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    got = own.join(F.broadcast(ids), "_k").select("_t", "_p").toArrow().sort_by([("_t", "ascending"), ("_p", "ascending")])
+    rows = own.join(F.broadcast(ids), "_k").groupBy("_k").agg(F.min("_t").alias("_t"), F.min("_p").alias("_p"))  # an id's rows count once
+    got = rows.select("_t", "_p").toArrow().sort_by([("_t", "ascending"), ("_p", "ascending")])
     if len(got):
         train(model, got["_t"].to_pylist(), np.array([posterior[p] for p in got["_p"].to_pylist()]))
     return model

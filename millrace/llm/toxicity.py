@@ -16,7 +16,11 @@ product over three-letter subsequences, the machine collapses into one weight fo
 visiting landmarks. A document's margin is the largest of its units; a logistic curve placed by the training documents
 turns it into the score.
 
-Null and empty texts have no unit and get the lowest margin's score. Without training rows of both labels the score is
+Frequent toxic units are also learned with an inserted letter. What other inserted letters leave of a margin depends on
+how near clean units are; inserted characters that are no letters cost nothing, as such units are also read without them.
+
+Null and empty texts have no unit and get the lowest margin's score. Extra columns are ignored; an empty table gives an
+empty result; ties among ids are ranked by their hash. Without training rows of both labels the score is
 0 everywhere. Rows with a null label or id teach nothing; an id with several labels counts as toxic if any says so.
 Repeated rows get equal scores. Texts are read whole.
 """
@@ -40,6 +44,7 @@ from .sampling import lowest
 
 WIDTH, SPAN, DECAY, BASE, GRAM_BITS = 24, 7, 0.7, 64, 24
 PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+INSERTED = "aeinrstlo"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -236,7 +241,6 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.
 
 def _spread(words: list[str], n: int) -> list[str]:
     """Farthest-first choice of n units."""
-    words = words[:1500]
     if len(words) <= n:
         return words
     k = _Kernel(words)(words)
@@ -259,7 +263,21 @@ def _witnesses(bags: list[np.ndarray], value: np.ndarray, share: float, most: in
     return out
 
 
-def build(toxic: list[str], clean: list[str], landmarks: int = 320, rounds: int = 4) -> Model:
+@dataclass(frozen=True)
+class Bounds:
+    """What bounds the work of fitting, all of it on the driver. Documents are never dropped by these."""
+
+    landmarks: int = 320
+    rounds: int = 4
+    candidates: int = 1500  # units among which landmarks of a side are chosen, those of the most documents first
+    clean_units: int = 6000  # clean units at the start, evenly over the sorted vocabulary
+    hard_units: int = 6000  # clean units added in a round, those that are most wrong first
+    witnesses: int = 20_000  # toxic units in a round, over all documents; 4 of each at least
+    gapped_units: int = 150  # toxic units of which variants with an inserted letter are learned, those of the most documents first
+    gapped_each: int = 2  # variants of each
+
+
+def build(toxic: list[str], clean: list[str], bounds: Bounds = Bounds()) -> Model:
     """Learns from toxic and clean texts: each toxic text as a bag whose best unit is toxic, each clean one as a bag of clean units."""
     bad, good = ([set(units(t)) for t in dict.fromkeys(x)] for x in (toxic, clean))
     clean_df = Counter(chain.from_iterable(good))
@@ -272,22 +290,22 @@ def build(toxic: list[str], clean: list[str], landmarks: int = 320, rounds: int
     bags = [np.array(b) for x in bad if (b := sorted(index[w] for w in x if w in index))]
     value = strengths(candidates, bad, good)
     prior = value / max(1.0, value.max())
-    neg = vocabulary[:: max(1, len(vocabulary) // 6000)]
+    neg = vocabulary[:: max(1, len(vocabulary) // bounds.clean_units)]
     known = set(neg)
     rng = np.random.default_rng(11)
     model = Model(np.zeros(BASE**3, np.float32), -1.0, 1.0, -50.0)
-    for _ in range(rounds):
-        carried = {candidates[i]: n for i, n in _witnesses(bags, value, 0.6, max(4, 20_000 // len(bags))).items()}
+    for _ in range(bounds.rounds):
+        carried = {candidates[i]: n for i, n in _witnesses(bags, value, 0.6, max(4, bounds.witnesses // len(bags))).items()}
         pos = sorted(carried, key=lambda w: (-carried[w], zlib.crc32(w.encode("utf-8", "surrogatepass"))))
         gapped: dict[str, float] = {}  # frequent units with an inserted character, so that the machine learns to bear them
-        for w in [p for p in pos if len(p) >= 5 and p.isalpha() and carried[p] >= 2][:150]:
-            for _ in range(2):
+        for w in [p for p in pos if len(p) >= 5 and p.isalpha() and carried[p] >= 2][: bounds.gapped_units]:
+            for _ in range(bounds.gapped_each):
                 k = int(rng.integers(1, len(w)))
-                gapped.setdefault(w[:k] + "aeinrstlo"[int(rng.integers(9))] + w[k:], carried[w] / 5)
+                gapped.setdefault(w[:k] + INSERTED[int(rng.integers(len(INSERTED)))] + w[k:], carried[w] / 5)
         carried |= {w: n for w, n in gapped.items() if w not in clean_df and w not in carried}
         pos = list(carried)
-        marks = _spread(pos, landmarks * 2 // 3)
-        marks += _spread(neg[::-1][:1500], landmarks - len(marks))
+        marks = _spread(pos[: bounds.candidates], bounds.landmarks * 2 // 3)
+        marks += _spread(neg[::-1][: bounds.candidates], bounds.landmarks - len(marks))
         kernel = _Kernel(marks)
         kmm = kernel(marks).astype(np.float64)
         val, vec = np.linalg.eigh((kmm + kmm.T) / 2)
@@ -303,7 +321,7 @@ def build(toxic: list[str], clean: list[str], landmarks: int = 320, rounds: int
         value = model.unit_margins(candidates) + prior
         got = model.unit_margins(vocabulary)
         hard = [vocabulary[i] for i in np.argsort(-got, kind="stable").tolist() if got[i] > -0.5]
-        hard = [h for h in hard if h not in known][:6000]
+        hard = [h for h in hard if h not in known][: bounds.hard_units]
         known.update(hard)
         neg += hard
     model.slope, model.shift = curve(model.margins(toxic), model.margins(clean))
@@ -331,7 +349,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg((F.max(label) > 0).cast("int").alias("_y"))
     known = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     ranked = lowest(marked.join(known, "_k", "left_semi"), "_y", "_k", per_class)
-    return known.join(F.broadcast(ranked), "_k").select(F.col("_y").alias("label"), F.col("_t").alias("text"))
+    rows = known.join(F.broadcast(ranked), "_k").groupBy("_k").agg(F.first("_y").alias("label"), F.min("_t").alias("text"))  # an id's rows count once
+    return rows.select("label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2500, max_chars: int = 8_000) -> Model:

@@ -10,7 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from millrace.llm import bpe, chat, flac, langid, packing, quality, queries, toxicity
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, chat, flac, langid, packing, quality, queries, sampling, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", "a", " ", "  x  y", "<|endoftext|>", "a <|endoftext|> b", "it's I'll  we\n\n x", "aaaa" * 3000, "é ² x ½ y", "日本語 テキスト a b", "x" * 70 + " y" * 200, "tab\tx y\r\nz  <|endoftext|>foo bar", "don't 've 's a b's c", "a b " * 2000, "1 2 3 a 4 b c" * 300, " a b c \x1c d \x85 e"]
@@ -385,3 +387,34 @@ def test_toxicity_sample_passes_over_long_texts(spark):
     labels = spark.createDataFrame([(i, i // 4 % 2) for i in range(80)], "doc_id long, toxic int")
     rows = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 8, 10).collect()
     assert collections.Counter(r["label"] for r in rows) == {0: 8, 1: 8}
+
+
+def test_samples_are_bounded_by_rows(spark):
+    """Rows that repeat an id, however many, are one row of a sample; ids of other classes don't suffer from them."""
+    rows = [(7, "a word that many rows say", 1)] * 3000 + [(i, "text number %d of this class" % i, i % 2) for i in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    got = sampling.lowest(df, "label", "doc_id", 5).collect()
+    assert len(got) == 10 and len({r["doc_id"] for r in got}) == 10
+    labels = df.select("doc_id", F.col("label").alias("toxic")).distinct()
+    assert toxicity.training_rows(df.select("doc_id", "text"), labels, "doc_id", "text", "toxic", 20, 1000).count() == 40
+    assert langid.training_rows(df.withColumn("lang", F.col("label").cast("string")), "lang", "text", "doc_id", 20, 1000).count() == 40
+    long = df.withColumn("text", F.when(F.col("label") == 1, F.repeat("text", 100)).otherwise(F.col("text")))
+    assert {r["label"] for r in toxicity.training_rows(long.select("doc_id", "text"), labels, "doc_id", "text", "toxic", 20, 10_000).collect()} == {0, 1}
+
+
+def test_inserted_letters_keep_insults(sf):
+    """Insults that no clean word is near to are still caught with a letter inserted, and clean words are left alone."""
+    rng = random.Random(3)
+    syllables = ["ka", "lo", "mi", "te", "ru", "so", "ne", "pa", "di", "vu"]
+    clean = [" ".join("".join(rng.choices(syllables, k=rng.randint(2, 4))) for _ in range(40)) for _ in range(300)]
+    insults = ["blockhead", "dimwit", "scoundrel", "numskull", "jackanapes"]
+    toxic = [f"{t} {rng.choice(insults)} {rng.choice(insults)}" for t in clean[:80]]
+    model = toxicity.build(toxic, clean[80:], toxicity.Bounds(landmarks=120, rounds=3))
+    assert (model.scores(clean[80:]) < 0.5).all() and (model.scores(insults) >= 0.5).all()
+    spoilt = []
+    for w in insults:
+        for _ in range(20):
+            k = rng.randint(1, len(w) - 1)
+            spoilt.append(w[:k] + rng.choice("abcdefghijklmnopqrstuvwxyz") + w[k:])
+    assert (model.scores(spoilt) >= 0.5).mean() >= 0.9
+    assert (model.scores(["-".join(w) for w in insults]) >= 0.5).all()
