@@ -39,7 +39,7 @@ from .batches import slices
 from .lineage import drop, stage
 
 LENGTH, GRAM, LOT_BYTES, SORT_BYTES = 50, 26, 8 << 20, 1 << 19
-HOT, HOT_LIST = 5000, 1_000_000
+HOT, HOT_LIST = 100_000, 1_000_000
 SPAN = LENGTH - GRAM + 1
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -258,8 +258,7 @@ def passages(docs: pd.DataFrame, shared: pd.DataFrame, buckets: int, hot: np.nda
         w_text = [raw[a : a + LENGTH] for a in w_first.tolist()]
         alone: dict[bytes, int] = {}
         w_open = np.array([alone.setdefault(t, d) == d for t, d in zip(w_text, ids[w_own].tolist(), strict=True)], bool)
-        grid = data[w_first[:, None] + np.arange(LENGTH)].astype(U)
-        place = (_mix((grid * LETTER[:LENGTH]).sum(1)) >> U(32)) % U(buckets)
+        place = (_mix(Prefix(data).of(w_first, LENGTH)) >> U(32)) % U(buckets)
         own, first, last = np.r_[own[stay], w_own], np.r_[first[stay], w_first], np.r_[last[stay], w_first]
         bucket, open_ = np.r_[bucket[stay], place.astype(np.int64)], np.r_[open_[stay], w_open]
         texts = [texts[i] for i in stay.tolist()] + w_text
