@@ -16,8 +16,9 @@ product over three-letter subsequences, the machine collapses into one weight fo
 visiting landmarks. A document's margin is the largest of its units; a logistic curve placed by the training documents
 turns it into the score.
 
-Frequent toxic units are also learned with an inserted letter. What other inserted letters leave of a margin depends on
-how near clean units are; inserted characters that are no letters cost nothing, as such units are also read without them.
+A gap costs little (DECAY near 1), and frequent toxic units are also learned with one and two inserted letters; clean
+units that resemble them are learned as such. Inserted characters that are no letters cost nothing, as such units are
+also read without them.
 
 Null and empty texts have no unit and get the lowest margin's score. Extra columns are ignored; an empty table gives an
 empty result; ties among ids are ranked by their hash. Without training rows of both labels the score is
@@ -28,6 +29,7 @@ Repeated rows get equal scores. Texts are read whole.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -42,9 +44,9 @@ from . import caches
 from .batches import slices
 from .sampling import lowest
 
-WIDTH, SPAN, DECAY, BASE, GRAM_BITS = 24, 7, 0.7, 64, 24
+WIDTH, SPAN, DECAY, BASE, GRAM_BITS = 24, 8, 0.95, 64, 24
 PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
-INSERTED = "aeinrstlo"
+INSERTED = string.ascii_lowercase
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
@@ -225,17 +227,20 @@ class _Kernel:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 20.0) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps on the active rows."""
-    x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
+    x1 = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
+    y, weight = y.astype(x.dtype), weight.astype(x.dtype)
     w = np.zeros(x1.shape[1])
     reg = np.eye(len(w))
     reg[-1, -1] = 1e-6
+    active = None
     for _ in range(25):
-        on = y * (x1 @ w) < 1
-        a = x1[on] * weight[on, None]
-        new = np.linalg.solve(reg + cost * a.T @ x1[on], cost * a.T @ y[on])
-        if np.allclose(new, w, atol=1e-7):
+        on = y * (x1 @ w.astype(x.dtype)) < 1
+        if active is not None and (on == active).all():
             break
-        w = new
+        active = on
+        held = x1[on]
+        a = held * weight[on, None]
+        w = np.linalg.solve(reg + cost * (a.T @ held).astype(np.float64), cost * (a.T @ y[on]).astype(np.float64))
     return w[:-1], float(w[-1])
 
 
@@ -267,14 +272,15 @@ def _witnesses(bags: list[np.ndarray], value: np.ndarray, share: float, most: in
 class Bounds:
     """What bounds the work of fitting, all of it on the driver. Documents are never dropped by these."""
 
-    landmarks: int = 320
+    landmarks: int = 480
     rounds: int = 4
     candidates: int = 1500  # units among which landmarks of a side are chosen, those of the most documents first
     clean_units: int = 6000  # clean units at the start, evenly over the sorted vocabulary
     hard_units: int = 6000  # clean units added in a round, those that are most wrong first
     witnesses: int = 20_000  # toxic units in a round, over all documents; 4 of each at least
-    gapped_units: int = 150  # toxic units of which variants with an inserted letter are learned, those of the most documents first
-    gapped_each: int = 2  # variants of each
+    near: float = 0.4  # a document's units count as its best ones down to this share of the best one's value
+    gapped_units: int = 60  # toxic units of which variants with inserted letters are learned, those of the most documents first
+    gapped_each: int = 24  # variants of each, half of them with one and half with two inserted letters
 
 
 def build(toxic: list[str], clean: list[str], bounds: Bounds = Bounds()) -> Model:
@@ -295,13 +301,16 @@ def build(toxic: list[str], clean: list[str], bounds: Bounds = Bounds()) -> Mode
     rng = np.random.default_rng(11)
     model = Model(np.zeros(BASE**3, np.float32), -1.0, 1.0, -50.0)
     for _ in range(bounds.rounds):
-        carried = {candidates[i]: n for i, n in _witnesses(bags, value, 0.6, max(4, bounds.witnesses // len(bags))).items()}
+        carried = {candidates[i]: n for i, n in _witnesses(bags, value, bounds.near, max(4, bounds.witnesses // len(bags))).items()}
         pos = sorted(carried, key=lambda w: (-carried[w], zlib.crc32(w.encode("utf-8", "surrogatepass"))))
-        gapped: dict[str, float] = {}  # frequent units with an inserted character, so that the machine learns to bear them
-        for w in [p for p in pos if len(p) >= 5 and p.isalpha() and carried[p] >= 2][: bounds.gapped_units]:
-            for _ in range(bounds.gapped_each):
-                k = int(rng.integers(1, len(w)))
-                gapped.setdefault(w[:k] + INSERTED[int(rng.integers(len(INSERTED)))] + w[k:], carried[w] / 5)
+        gapped: dict[str, float] = {}  # frequent units with one and two inserted letters, so that the machine learns to bear them
+        for w in [p for p in pos if len(p) >= 4 and p.isalpha() and carried[p] >= 2][: bounds.gapped_units]:
+            for each in range(bounds.gapped_each):
+                v = w
+                for _ in range(1 + each % 2):
+                    k = int(rng.integers(1, len(v)))
+                    v = v[:k] + INSERTED[int(rng.integers(len(INSERTED)))] + v[k:]
+                gapped.setdefault(v, carried[w] / 5)
         carried |= {w: n for w, n in gapped.items() if w not in clean_df and w not in carried}
         pos = list(carried)
         marks = _spread(pos[: bounds.candidates], bounds.landmarks * 2 // 3)
@@ -311,7 +320,7 @@ def build(toxic: list[str], clean: list[str], bounds: Bounds = Bounds()) -> Mode
         val, vec = np.linalg.eigh((kmm + kmm.T) / 2)
         ok = val > 1e-6 * val.max()
         root = vec[:, ok] / np.sqrt(val[ok])
-        x = np.concatenate([kernel(pos), kernel(neg)]) @ root
+        x = np.concatenate([kernel(pos), kernel(neg)]) @ root.astype(np.float32)
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         often, seen = np.array([carried[p] for p in pos]) ** 0.5, np.sqrt([clean_df[w] * len(bad) / len(good) for w in neg])
         w, bias = _machine(x, y, np.r_[often / often.sum(), seen / seen.sum()] * 1000)
